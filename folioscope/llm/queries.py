@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, separator_scan, token_files
+from . import bpe, exact_dedup, packing, separator_scan, simhash, token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,6 +30,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
@@ -39,6 +43,15 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_records(manifest, digest_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_separator_scan, op3_bpe_codec, op5_best_fit_packing, op6_token_records)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), words=4, bits=4)
+
+
+QUERIES = {f.__name__: f for f in (op2_separator_scan, op3_bpe_codec, op4_exact_dedup, op5_best_fit_packing, op6_token_records, op9_simhash)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
+               doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
+}
