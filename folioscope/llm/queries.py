@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, separator_scan, simhash, token_files
+from . import bpe, embedding_dedup, exact_dedup, packing, separator_scan, simhash, token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,7 +47,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=4, bits=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_separator_scan, op3_bpe_codec, op4_exact_dedup, op5_best_fit_packing, op6_token_records, op9_simhash)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
+
+
+QUERIES = {f.__name__: f for f in (op2_separator_scan, op3_bpe_codec, op4_exact_dedup, op5_best_fit_packing, op6_token_records, op9_simhash, op10_embedding_near_dedup)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": """
