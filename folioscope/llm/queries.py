@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, packing, separator_scan, simhash, token_files
+from . import bpe, embedding_dedup, exact_dedup, language_id, packing, separator_scan, simhash, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +23,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _crc_of_id(parts: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from the labels of rows outside the held-out third."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(_crc_of_id(3) != 1)
+    return toxicity.fit(docs, labels)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (_crc_of_id(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=50256)
 
@@ -43,6 +60,13 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_records(manifest, digest_only=True)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, _crc_of_id(4) != 2)
+    got = language_id.identify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", (_crc_of_id(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=4, bits=4)
 
@@ -51,7 +75,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
 
 
-QUERIES = {f.__name__: f for f in (op2_separator_scan, op3_bpe_codec, op4_exact_dedup, op5_best_fit_packing, op6_token_records, op9_simhash, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_separator_scan, op3_bpe_codec, op4_exact_dedup, op5_best_fit_packing, op6_token_records, op7_language_id, op9_simhash, op10_embedding_near_dedup)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": """
