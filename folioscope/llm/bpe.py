@@ -139,8 +139,7 @@ class BPECodec:
     def encode_decode(self, texts: list[str]):
         """For each text: ids as decimals joined by spaces, their number, and the decoded text."""
         words = [self.split.words(t) for t in texts]
-        self.cache.learn(words)
-        get = self.cache.__getitem__
+        get = self.cache.learn(words)
         for own in words:
             got = [get(w) for w in own]
             yield " ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])

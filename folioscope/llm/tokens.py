@@ -75,26 +75,24 @@ class WordSplitter:
         return self.find(text)
 
 
-class WordCache(dict):
+class WordCache:
     """word -> what ``encode`` makes of it; unseen words are encoded together."""
 
-    def __init__(self, encode, most: int = CACHE_WORDS):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def learn(self, texts_words) -> None:
-        unseen = set()
-        for words in texts_words:
-            unseen.update(words)
-        unseen.difference_update(self)
-        if len(self) + len(unseen) > self.most:
-            self.clear()
-            unseen = set()
-            for words in texts_words:
-                unseen.update(words)
+    def __init__(self, encode, most: int | None = None):
+        self.encode, self.most = encode, most or CACHE_WORDS
+        self.known: dict = {}
+
+    def learn(self, texts_words: list[list[str]]):
+        """Encode what is new; returns the lookup."""
+        words = set().union(*texts_words)
+        unseen = words.difference(self.known)
+        if len(self.known) + len(unseen) > self.most:
+            self.known = {}
+            unseen = words
         if unseen:
             order = list(unseen)
-            self.update(zip(order, self.encode(order)))
+            self.known.update(zip(order, self.encode(order)))
+        return self.known.__getitem__
 
 
 def text_blocks(batch, column: str = "text", chars: int = 2_000_000):
@@ -125,29 +123,28 @@ class IdEncoder:
         self.cache = WordCache(self._encode)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        if self.split.lower:
-            return self._encode_joined(words)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.split.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode_joined(self, words: list[str], run: int = 2000) -> list[bytes]:
-        """White space parts words and is dropped, so that many words can be encoded as one text."""
-        out: list[bytes] = []
-        for k in range(0, len(words), run):
-            part = words[k : k + run]
-            if any(w in self.split.special for w in part):
-                out += [np.array(self.split.tok.encode(w, add_special_tokens=False).ids, dtype=self.dtype).tobytes() for w in part]
-                continue
-            got = self.split.tok.encode(" ".join(part), add_special_tokens=False)
-            cut = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * self.dtype.itemsize
-            ids, at = np.array(got.ids, dtype=self.dtype).tobytes(), cut.tolist()
-            out += [ids[a:b] for a, b in zip(at, at[1:])]
-        return out
+        """Words that can stand side by side without changing are encoded as one text, the others one by one."""
+        if self.split.lower:  # white space parts words and is dropped
+            joins, gap = [w not in self.split.special for w in words], " "
+        else:  # a space begins a word and is part of it
+            joins, gap = [w[0] == " " and len(w) > 1 and not w[1:].isspace() for w in words], ""
+        out = {}
+        apart = [w for w, j in zip(words, joins) if not j]
+        for w, e in zip(apart, self.split.tok.encode_batch_fast(apart, add_special_tokens=False)):
+            out[w] = np.array(e.ids, dtype=self.dtype).tobytes()
+        side = [w for w, j in zip(words, joins) if j]
+        for k in range(0, len(side), 2000):
+            part = side[k : k + 2000]
+            got = self.split.tok.encode(gap.join(part), add_special_tokens=False)
+            cut = (np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * self.dtype.itemsize).tolist()
+            ids = np.array(got.ids, dtype=self.dtype).tobytes()
+            out.update(zip(part, [ids[a:b] for a, b in zip(cut, cut[1:])]))
+        return [out[w] for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
         words = [self.split.words(t) for t in texts]
-        self.cache.learn(words)
-        get = self.cache.__getitem__
+        get = self.cache.learn(words)
         return [b"".join(map(get, w)) for w in words]
 
 
