@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, packing, separator_scan, simhash, token_files, toxicity
+from . import bpe, embedding_dedup, exact_dedup, language_id, packing, pii, separator_scan, simhash, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,6 +67,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (_crc_of_id(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=4, bits=4)
 
@@ -75,7 +79,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_separator_scan, op3_bpe_codec, op4_exact_dedup, op5_best_fit_packing, op6_token_records, op7_language_id, op9_simhash, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_separator_scan, op3_bpe_codec, op4_exact_dedup, op5_best_fit_packing, op6_token_records, op7_language_id, op8_pii, op9_simhash, op10_embedding_near_dedup)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": """
