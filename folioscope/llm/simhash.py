@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, numpy_components, sorted_groups, split_hot, written
+from .common import connected_components, numpy_components, small_side, sorted_groups, split_hot, written
 
 #: Fingerprints of a list that one unit compares; longer lists are dealt over several units.
 UNIT = 2048
@@ -148,3 +148,13 @@ def near_duplicates(docs: DataFrame, words: int, bits: int) -> DataFrame:
     classes = written(reps.join(own, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes")
     out = fps.join(classes, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id; all columns stay.
+
+    Rows whose doc_id is null stay; so do all rows of a doc_id that stays.
+    """
+    own = near_duplicates(docs, words, bits)
+    dropped = written(own.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    return docs.join(small_side(dropped), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
