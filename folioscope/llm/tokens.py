@@ -12,9 +12,28 @@ import unicodedata
 
 import numpy as np
 
-#: Outside these blocks (Latin, punctuation, currency, letterlike signs) the library itself splits the text, since
-#: Unicode tables may differ between libraries.
-_UNUSUAL = re.compile("[^\x00-ɏḀ-ỿ‐-‧‰-⁞₠-₿℀-⅏]|[\x1c-\x1f]")
+def _usual() -> list[int]:
+    """Code points that are split here: Latin, punctuation, currency and letterlike signs, as far as they stay among
+    themselves when composed and lower-cased. Texts with others are split by the library, since Unicode tables differ.
+    """
+    blocks = ((0, 0x1C), (0x20, 0x250), (0x1E00, 0x1F00), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0), (0x2100, 0x2150))
+    among = {c for a, b in blocks for c in range(a, b)}
+    return sorted(c for c in among if {ord(x) for x in unicodedata.normalize("NFC", chr(c)).lower()} <= among)
+
+
+def _class(points: list[int]) -> str:
+    """The inside of a character class of these code points."""
+    runs: list[list[int]] = []
+    for c in points:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
+
+
+_USUAL = _usual()
+_UNUSUAL = re.compile(f"[^{_class(_USUAL)}]")
 #: Distinct words held by one Python worker at a time; beyond it the cache starts again (results do not change).
 CACHE_WORDS = 800_000
 
@@ -35,19 +54,18 @@ class WordSplitter:
     def __init__(self, path: str, special: bool = True):
         import json
 
-        import regex
-
         self.tok = load_tokenizer(path)
         spec = json.load(open(path))
         self.lower = spec["normalizer"] is not None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]} if special else {}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        # The split patterns of the two kinds of tokenizer file.
+        letter, digit = (_class([c for c in _USUAL if unicodedata.category(chr(c))[0] == kind]) for kind in "LN")
+        # The split patterns of the two kinds of tokenizer file, letters first.
         if self.lower:
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+            pattern = rf"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digit}]|[^\s{letter}{digit}]+"
         else:
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.find = regex.compile(pattern).findall
+            pattern = rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{digit}]+| ?[^\s{letter}{digit}]+|\s+(?!\S)|\s+"
+        self.find = re.compile(pattern).findall
 
     def words(self, text: str | None) -> list[str]:
         """The words of a text in order; special tokens stand as themselves."""
