@@ -216,81 +216,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     return ToxicityModel(lexicons[-1], boosting.fit(x, y), boosting.isotonic(margin, y))
 
 
-def score(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        x = np.array([features(t, self.lexicons) for t in texts])
-        return np.clip(self.calibration(self.trees.margin(x)), 0.0, 1.0)
-
-
-def _terms(text: str) -> set[str]:
-    """The distinct words of a text and, marked, their beginnings."""
-    words = set(_WORD.findall(text.lower()))
-    return words | {"^" + w[:k] for w in words for k in BEGINNINGS if len(w) >= k}
-
-
-def _document_counts(rows: DataFrame, among: frozenset | None) -> DataFrame:
-    """(term, n): in how many texts each term (of ``among``) occurs, partial sums first."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        n: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                own = _terms(text.as_py())
-                n.update(own if among is None else own & among)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
-
-    return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def learn_lexicons(rows: DataFrame) -> Lexicons:
-    """From rows (text, toxic): terms whose document odds are far higher among toxic texts."""
-    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(size) < 2:
-        return Lexicons()
-    least = max(3, size[1] // 400)
-    found = _document_counts(rows.filter("toxic = 1"), None).filter(F.col("n") >= least)
-    toxic = {r["term"]: r["n"] for r in found.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    clean = {r["term"]: r["n"] for r in _document_counts(rows.filter("toxic = 0"), frozenset(toxic)).collect()}
-    odds = {t: float(np.log((n + 0.5) / (size[1] + 1)) - np.log((clean.get(t, 0) + 0.5) / (size[0] + 1))) for t, n in toxic.items()}
-    strong = sorted((t for t in odds if odds[t] > 2.0), key=lambda t: (-toxic[t] * odds[t], t))[:LEXICON]
-    return Lexicons({t: odds[t] for t in strong if t[0] != "^"}, {t[1:]: odds[t] for t in strong if t[0] == "^"})
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fit on a bounded sample of ``labels`` (doc_id, toxic) with the texts of ``docs``."""
-    own = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    own = written(own, "labels")
-    share = min(1.0, fit_rows / max(own.count(), 1))
-    drawn = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small_side(drawn), "doc_id")
-    # Copies of a text would teach and judge at once: a text belongs to one part, and counts once.
-    rows = rows.dropDuplicates(["text"]).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(10)))
-    rows = written(rows.select("text", "toxic", "part"), "labelled")
-    lex = learn_lexicons(rows.filter("part < 5"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            x = [features(t.as_py(), lex) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "part"])
-
-    table = rows.filter("part >= 5").select("text", "toxic", "part").mapInArrow(run, "x array<double>, toxic int, part long").toArrow()
-    part, y = table["part"].to_numpy(), table["toxic"].to_numpy().astype(float)
-    x = np.array(table["x"].to_pylist(), dtype=float).reshape(len(y), -1)
-    order = np.lexsort([*x.T, y])  # a fixed order, whatever the order of tasks
-    part, y, x = part[order], y[order], x[order]
-    if not len(y):
-        return ToxicityModel(lex, boosting.Boosted(-30.0, []), boosting.isotonic(y, y))
-    trees = boosting.fit(x[part < 8], y[part < 8])
-    margin = trees.margin(x)
-    judge = part >= 8 if len(set(y[part >= 8])) == 2 else part >= 5
-    return ToxicityModel(lex, trees, boosting.isotonic(margin[judge], y[judge]))
-
-
 def score(docs: DataFrame, model: ToxicityModel, most: float | None = None) -> DataFrame:
     """``docs`` with ``score``; with ``most`` instead ``docs`` as it is, without rows that reach it."""
     keep = [f for f in docs.schema.fields if most is not None or f.name != "score"]
