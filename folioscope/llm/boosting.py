@@ -95,7 +95,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
 
 @dataclass
 class Isotonic:
-    """A rising step function with straight lines between block centres."""
+    """A rising function: flat over each block of margins, with straight lines between blocks."""
 
     at: np.ndarray
     value: np.ndarray
@@ -112,11 +112,11 @@ def isotonic(margin: np.ndarray, y: np.ndarray, prior: float = 0.5) -> Isotonic:
         return Isotonic(np.zeros(0), np.zeros(0))
     kinds, where = np.unique(margin, return_inverse=True)
     hits, rows = np.bincount(where, y), np.bincount(where).astype(float)
-    blocks: list[list[float]] = []
+    blocks: list[list[float]] = []  # rows of class 1, rows, lowest and highest margin
     for m, k, n in zip(kinds, hits, rows):
-        blocks.append([k, n, m * n])
+        blocks.append([k, n, m, m])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
-    value = np.maximum.accumulate([(k + prior) / (n + 2 * prior) for k, n, _ in blocks])
-    return Isotonic(np.array([s / n for _, n, s in blocks]), value)
+            k, n, _, high = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + k, blocks[-1][1] + n, blocks[-1][2], high]
+    value = np.maximum.accumulate([(k + prior) / (n + 2 * prior) for k, n, _, _ in blocks])
+    return Isotonic(np.array([m for b in blocks for m in b[2:]]), np.repeat(value, 2))

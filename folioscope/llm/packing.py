@@ -87,7 +87,20 @@ def numbered(items: DataFrame) -> DataFrame:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, how many bins) that use every piece once. Fills gaps exactly while it can."""
+    """Patterns (lengths, how many bins) that use every piece once. Fills gaps exactly while it can.
+
+    Exact fills by many small pieces can leave later gaps without any, so plans that stop at single, pair and triple
+    sums are compared, and of those the one with the fewest bins is taken.
+    """
+    plans = (_filled(counts, capacity, parts, by_sum) for parts in (3, 2, 1) for by_sum in (False, True)[: 1 + (parts > 1)])
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _filled(counts: dict[int, int], capacity: int, parts: int, by_sum: bool) -> list[tuple[tuple[int, ...], int]]:
+    """One plan: gaps are filled by sums of up to ``parts`` lengths, then by best fit.
+
+    ``by_sum``: all gaps are tried with single lengths before any with pairs, and with pairs before any with triples.
+    """
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -105,24 +118,33 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         a = np.arange((total + 1) // 2, min(total - 1, most) + 1)
         return a[(have[a] > 0) & (have[total - a] > 0)][::-1].tolist() if len(a) else []
 
-    for length in range(capacity, 0, -1):
-        if not have[length]:
-            continue
+    def fill(length: int, sizes: tuple[int, ...]) -> None:
         gap = capacity - length
         if not gap:
             take((length,))
-            continue
-        if gap <= length:
+            return
+        if 1 in sizes and gap <= length:
             take((length, gap))
-        for a in pair(gap, length) if have[length] else []:
+        for a in pair(gap, length) if 2 in sizes and have[length] else []:
             take((length, a, gap - a))
-        for a in range(min(gap - 2, length), 0, -1) if have[length] else []:
+        for a in range(min(gap - 2, length), 0, -1) if 3 in sizes and have[length] else []:
             if not have[length]:
                 break
             if have[a]:
                 for b in pair(gap - a, a):
                     take((length, a, b, gap - a - b))
-    # Best fit for the rest. bins[g]: [lengths, how many] of open bins with the gap g.
+
+    sizes = tuple(range(1, parts + 1))
+    for now in [(k,) for k in sizes] if by_sum else [sizes]:
+        for length in range(capacity, 0, -1):
+            if have[length]:
+                fill(length, now)
+    return out + _best_fit(have, capacity)
+
+
+def _best_fit(have: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns for what is left, longest first. bins[g]: [lengths, how many] of open bins with the gap g."""
+    out: list[tuple[tuple[int, ...], int]] = []
     bins: dict[int, list[list]] = {}
     for length in range(capacity, 0, -1):
         left = int(have[length])

@@ -138,6 +138,7 @@ def features(text: Column, c: Column) -> list[Column]:
         number(F.coalesce(_luhn(m), F.lit(False))),
         number(_mod97(m) == 1),
         number(m.rlike(r"(?i)[(\[{]at[)\]}]")),
+        number(m.rlike(r"(?i)[^a-z](com|org|net|edu|gov|io|de|fr|es|uk)$")),
     ]
 
 

@@ -205,11 +205,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
 
     table = rows.mapInArrow(run, "x array<double>, toxic int, fold int").toArrow()
     fold, y = table["fold"].to_numpy(), table["toxic"].to_numpy().astype(float)
-    x = np.array(table["x"].to_pylist(), dtype=float).reshape(len(y), -1)
-    order = np.lexsort([*x.T, y])  # a fixed order, whatever the order of tasks
-    fold, y, x = fold[order], y[order], x[order]
     if not len(y):
         return ToxicityModel(lexicons[-1], boosting.Boosted(-30.0, []), boosting.isotonic(y, y))
+    x = np.array(table["x"].to_pylist(), dtype=float)
+    order = np.lexsort([*x.T, y])  # a fixed order, whatever the order of tasks
+    fold, y, x = fold[order], y[order], x[order]
     margin = np.zeros(len(y))
     for k in range(FOLDS):
         margin[fold == k] = boosting.fit(x[fold != k], y[fold != k]).margin(x[fold == k])

