@@ -1 +1,3 @@
+"""Queries over the driver's tables, by family; importing the package registers them."""
 
+from . import analytics, concepts, corpus, grounding, retrieval, streams, tagging  # noqa: F401
