@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_batches
 from .tokens import CACHE_WORDS, WordCache, WordSplitter, held, text_blocks
 
 _FAR = np.int64(1) << 40
@@ -177,7 +178,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: bool = True
                 cols += [pa.array(out[f.name], type=types.get(f.name, pa.string())) for f in made]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema, encoders=True)
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:

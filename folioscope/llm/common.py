@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most this many narrow rows (under 100 bytes each, so under 20 MB).
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run, schema, encoders: bool = False) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_BYTES``, whatever the length of the texts.
+
+    The bound is set for the session. Python workers are kept from task to task: a worker that has tokenized before
+    frees its encoders here, unless ``encoders`` says that this step, or one in the same stage, tokenizes.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if encoders:
+        return df.mapInArrow(run, schema)
+
+    def freed(batches):
+        from . import tokens
+
+        tokens.release()
+        yield from run(batches)
+
+    return df.mapInArrow(freed, schema)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves it small, else as it is (the join then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -151,7 +172,7 @@ def _thinned(e: DataFrame) -> DataFrame:
             far = np.flatnonzero(lab != np.arange(len(nodes)))
             yield pa.RecordBatch.from_pydict({"u": nodes[far], "v": nodes[lab[far]]})
 
-    return e.mapInArrow(forest, "u long, v long").distinct()
+    return map_batches(e, forest, "u long, v long").distinct()
 
 
 def _chunks(batches, rows: int):

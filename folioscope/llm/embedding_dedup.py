@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, numpy_components, small_side, sorted_groups, split_hot, written
+from .common import connected_components, map_batches, numpy_components, small_side, sorted_groups, split_hot, written
 
 UNIT = 1024
 #: Standard deviations of the estimate's error within which a pair is recomputed.
@@ -71,7 +71,7 @@ def encode(reps: DataFrame, dim: int, bits: int, count: int) -> DataFrame:
                 names=["id", "m", "vec", "code", "factor", "keys"],
             )
 
-    return reps.select("id", "m", "vec").mapInArrow(run, "id long, m long, vec array<float>, code array<long>, factor double, keys array<long>")
+    return map_batches(reps.select("id", "m", "vec"), run, "id long, m long, vec array<float>, code array<long>, factor double, keys array<long>")
 
 
 def _lists(rows: np.ndarray):
@@ -106,7 +106,7 @@ def link_units(coded: DataFrame, dim: int, cosine: float, bits: int, count: int)
                 }
             )
 
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    return map_batches(dealt, run, "a long, b long, n long")
 
 
 def _found(g: dict, dim: int, cosine: float, bits: int, count: int):

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 #: Labelled rows a language from which its trigrams are counted (about; they are drawn by a hash of doc_id).
 FIT_ROWS = 4_000
 BUCKETS = 1 << 15
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> LanguageMod
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at, "n": n[at]})
 
-    counted = own.filter(drawn).select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
+    counted = map_batches(own.filter(drawn).select("lang", "text"), count, "lang string, bucket long, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets at most
     langs = sorted(rows)
     counts = np.full((len(langs), BUCKETS), 0.02)
@@ -147,4 +149,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_batches, written
 from .tokens import IdEncoder, held, text_blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES + (", ids array<int>" if keep_ids else ""), encoders=True)
 
 
 def numbered(items: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def numbered(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "part", "seq"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    return written(items.mapInArrow(run, f"{fields}, part int, seq long"), "pieces")
+    return written(map_batches(items, run, f"{fields}, part int, seq long", encoders=True), "pieces")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -206,7 +206,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
 
     ranked = own.join(sums.select("part", "length", "first"), ["part", "length"]).withColumn("rank", F.col("first") + F.col("seq")).drop("first", "part", "seq")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return map_batches(ranked, place, f"{fields}, sequence_id long, offset long", encoders=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False) -> DataFrame:

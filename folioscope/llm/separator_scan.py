@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, map_batches, written
 from .token_files import MANIFEST, file_system, in_doc_order
 from .tokens import IdEncoder, held, text_blocks
 
@@ -57,7 +57,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         if out is not None:
             out.close()
 
-    order = written(in_doc_order(docs).mapInArrow(run, "part int, file string, nth long, doc_id long, bytes long"), "order")
+    order = written(map_batches(in_doc_order(docs), run, "part int, file string, nth long, doc_id long, bytes long", encoders=True), "order")
     manifest = order.groupBy("part", "file").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"))
     manifest = manifest.withColumn("tokens", (F.col("bytes") / F.substring_index("file", ".u", -1).cast("int")).cast("long"))
     return written(manifest.select(*(c.split()[0] for c in MANIFEST.split(", "))), "manifest"), order.select("file", "nth", "doc_id")
@@ -90,7 +90,7 @@ def scan(manifest: DataFrame, end_id: int, block_tokens: int = 4 << 20) -> DataF
                     names=["part", "file", "block", "size", "seps", "closed", "at", "prev"],
                 )
 
-    found = written(blocks.mapInArrow(run, "part int, file string, block int, size long, seps long, closed long, at array<long>, prev array<long>"), "blocks")
+    found = written(map_batches(blocks, run, "part int, file string, block int, size long, seps long, closed long, at array<long>, prev array<long>"), "blocks")
     # The prefix scan: tokens before each block over all files, documents before it in its file, and where the
     # document that is open at its start began: the end of the last block before that closed one.
     totals = found.select("part", "file", "block", "size", "seps", "closed")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, numpy_components, small_side, sorted_groups, split_hot, written
+from .common import connected_components, map_batches, numpy_components, small_side, sorted_groups, split_hot, written
 
 #: Fingerprints of a list that one unit compares; longer lists are dealt over several units.
 UNIT = 2048
@@ -41,12 +41,11 @@ def fingerprint(text: str | None, words: int, run: int = 1 << 16) -> int:
     starts = [0, *ends[:-1]]
     tails = ends[words - 1 :] or ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(flat[a : b - 1], SEED) for a, b in zip(starts, tails)]
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(hashes), run):
-        part = np.array(hashes[k : k + run], dtype="<u8")
+    for k in range(0, len(tails), run):
+        part = np.array([digest(flat[a : b - 1], SEED) for a, b in zip(starts[k : k + run], tails[k : k + run])], dtype="<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(tails), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -60,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             fp = np.array([fingerprint(text[k].as_py(), words) for k in range(len(text))], dtype=np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 def byte_blocks(least: int) -> list[tuple[int, ...]]:
@@ -102,7 +101,7 @@ def links(reps: DataFrame, bits: int) -> DataFrame:
             a, b = _linked(g, least, bits)
             yield pa.RecordBatch.from_pydict({"a": g["id"][a], "b": g["id"][b]})
 
-    return dealt.select("key", "lo", "hi", "blk", "id", "fp").mapInArrow(run, "a long, b long")
+    return map_batches(dealt.select("key", "lo", "hi", "blk", "id", "fp"), run, "a long, b long")
 
 
 def _linked(g: dict, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:

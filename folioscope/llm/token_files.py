@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, map_batches, written
 from .tokens import IdEncoder, held, text_blocks
 
 NULL_ID = np.iinfo(np.int64).min
@@ -92,7 +92,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
             name = path.rpartition("/")[2]
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "docs": [len(offsets)], "tokens": [tokens], "bytes": [at]})
 
-    return written(in_doc_order(docs).mapInArrow(run, MANIFEST), "manifest")
+    return written(map_batches(in_doc_order(docs), run, MANIFEST, encoders=True), "manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def read_records(manifest: DataFrame, digest_only: bool = False, piece: int = 8
                         yield pa.RecordBatch.from_arrays(own, names=names)
                         a = b
 
-    return spread(manifest.sparkSession, files).mapInArrow(run, columns)
+    return map_batches(spread(manifest.sparkSession, files), run, columns)
 
 
 def unframe(record: bytes) -> tuple[int | None, np.ndarray]:

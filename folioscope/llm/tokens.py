@@ -175,3 +175,8 @@ def held(kind, *args):
     if key not in _HELD:
         _HELD[key] = kind(*args)
     return _HELD[key]
+
+
+def release() -> None:
+    """Free the encoders of this worker."""
+    _HELD.clear()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import boosting
-from .common import small_side, written
+from .common import map_batches, small_side, written
 
 #: Labelled rows, about, on which lexicons, trees and calibration are fitted (drawn by a hash of doc_id).
 FIT_ROWS = 16_000
@@ -148,7 +148,7 @@ def _document_counts(rows: DataFrame, among: frozenset | None) -> DataFrame:
                 n.update((fold, t) for t in (own if among is None else own & among))
         yield pa.RecordBatch.from_pydict({"fold": pa.array([f for f, _ in n], pa.int32()), "term": pa.array([t for _, t in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
-    return rows.select("fold", "text").mapInArrow(run, "fold int, term string, n long").groupBy("fold", "term").agg(F.sum("n").alias("n"))
+    return map_batches(rows.select("fold", "text"), run, "fold int, term string, n long").groupBy("fold", "term").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicons(rows: DataFrame) -> list[Lexicons]:
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
             x = [features(t.as_py(), lexicons[k]) for t, k in zip(batch.column(0), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "fold"])
 
-    table = rows.mapInArrow(run, "x array<double>, toxic int, fold int").toArrow()
+    table = map_batches(rows, run, "x array<double>, toxic int, fold int").toArrow()
     fold, y = table["fold"].to_numpy(), table["toxic"].to_numpy().astype(float)
     if not len(y):
         return ToxicityModel(lexicons[-1], boosting.Boosted(-30.0, []), boosting.isotonic(y, y))
@@ -233,4 +233,4 @@ def score(docs: DataFrame, model: ToxicityModel, most: float | None = None) -> D
             else:
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(got < most))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
