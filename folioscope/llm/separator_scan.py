@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, map_batches, written
-from .token_files import MANIFEST, file_system, in_doc_order
+from .token_files import MANIFEST, file_system
 from .tokens import IdEncoder, held, text_blocks
 
 
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Write ``docs`` in ascending doc_id as flat files; returns (manifest, order).
+    """Write ``docs`` as flat files, in the order in which they lie; returns (manifest, order).
 
-    ``order`` has (file, nth, doc_id): which document stands at which place. The files themselves don't know it.
+    ``order`` has (file, nth, doc_id): which document stands at which place. The files themselves don't know it. Each
+    task writes its own share where it reads it, so texts are not shuffled; for another order, sort ``docs`` before.
     Special tokens written in a text are ordinary text here, so that the end id closes documents only.
     """
     folder = folder or fresh_path(docs.sparkSession, "flat")
@@ -57,7 +58,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         if out is not None:
             out.close()
 
-    order = written(map_batches(in_doc_order(docs), run, "part int, file string, nth long, doc_id long, bytes long", encoders=True), "order")
+    order = written(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "part int, file string, nth long, doc_id long, bytes long", encoders=True), "order")
     manifest = order.groupBy("part", "file").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"))
     manifest = manifest.withColumn("tokens", (F.col("bytes") / F.substring_index("file", ".u", -1).cast("int")).cast("long"))
     return written(manifest.select(*(c.split()[0] for c in MANIFEST.split(", "))), "manifest"), order.select("file", "nth", "doc_id")
@@ -107,6 +108,6 @@ def scan(manifest: DataFrame, end_id: int, block_tokens: int = 4 << 20) -> DataF
 
 
 def token_counts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, start, n_tokens of every document, read from the flat files by ``scan``."""
+    """doc_id, start, n_tokens of every document, read from the flat files by ``scan``; start is its place in them."""
     manifest, order = write_flat(docs, tokenizer, end_id)
     return order.join(scan(manifest, end_id), ["file", "nth"]).select("doc_id", "start", "n_tokens")
