@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import n_words, sentences, tokens
 from ..operators import scoring, search
 from ..sources.tables import QUESTIONS, literal, load, values
+from . import registry
 from .registry import query
+from .tagging import _ALL, _all_questions
 
 TERMS = ["the", "license", "der"]
 _Q = values(QUESTIONS, "qid, query")
@@ -183,6 +185,15 @@ _ENT = """
          + CASE WHEN contains(query, '"') THEN 0.3 ELSE 0 END) / 4 AS spec FROM q)"""
 
 
+def _query_weights(questions: DataFrame) -> DataFrame:
+    """Entities, type, specificity and search weights of questions."""
+    q = F.col("query")
+    rows = questions.select("qid", scoring.entities(q).alias("e"), scoring.query_type(q).alias("query_type"), scoring.specificity(q).alias("s"))
+    w = scoring.weights(F.col("query_type"), F.col("s"))
+    names = ("w_exact", "w_semantic", "w_context", "w_coverage")
+    return rows.select("qid", F.array_join("e", "|").alias("entities"), "query_type", F.round("s", 6).alias("specificity"), *[F.round(c, 6).alias(n) for c, n in zip(w, names)])
+
+
 @query(_ENT + """, b AS (SELECT *, CASE query_type WHEN 'specific_reference' THEN 0.6 WHEN 'contextual' THEN 0.3 ELSE 0.2 END::DOUBLE AS e,
         CASE query_type WHEN 'specific_reference' THEN 0.2 WHEN 'contextual' THEN 0.4 ELSE 0.6 END::DOUBLE AS s,
         CASE query_type WHEN 'contextual' THEN 0.2 ELSE 0.1 END::DOUBLE AS c FROM a),
@@ -192,11 +203,20 @@ _ENT = """
         round(s2 / (e2 + s2 + c + 0.1::DOUBLE), 6) AS w_semantic, round(c / (e2 + s2 + c + 0.1::DOUBLE), 6) AS w_context, round(0.1::DOUBLE / (e2 + s2 + c + 0.1::DOUBLE), 6) AS w_coverage FROM m""")
 def query_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities, type, specificity and search weights of questions."""
-    q = F.col("query")
-    rows = literal(spark, QUESTIONS, "qid int, query string").select("qid", scoring.entities(q).alias("e"), scoring.query_type(q).alias("query_type"), scoring.specificity(q).alias("s"))
-    w = scoring.weights(F.col("query_type"), F.col("s"))
-    names = ("w_exact", "w_semantic", "w_context", "w_coverage")
-    return rows.select("qid", F.array_join("e", "|").alias("entities"), "query_type", F.round("s", 6).alias("specificity"), *[F.round(c, 6).alias(n) for c, n in zip(w, names)])
+    return _query_weights(literal(spark, QUESTIONS, "qid int, query string"))
+
+
+def _words_bound(sql: str) -> str:
+    """RE2's word boundary is ASCII: capitals are looked for between signs that are no letters of any script."""
+    out = sql.replace("regexp_extract_all(query, '\\b[A-Z]{2,6}\\b')", "regexp_extract_all(regexp_replace(query, '[^\\p{L}\\p{M}\\p{N}_]+', '  ', 'g'), '(?:^| )([A-Z]{2,6})(?: |$)', 1)")
+    assert out != sql
+    return out
+
+
+@query(_words_bound(registry.ORACLE["query_weights"]).replace(_Q, _ALL))
+def query_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_weights`` over all benchmark items and user turns."""
+    return _query_weights(_all_questions(spark, sf_dir))
 
 
 @query("""
@@ -227,6 +247,17 @@ def relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rn", rn).filter("rn <= 10").drop("rn")
 
 
+@query(_words_bound(registry.ORACLE["relevance_rank"]).replace(_Q, "(SELECT item_id, text FROM benchmark) AS t(qid, query)"))
+def relevance_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``relevance_rank`` for all benchmark items; which side is sent round is left to the planner, as both can grow."""
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), scoring.entities(F.col("text")).alias("e")).filter(F.size("e") > 0)
+    own = load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
+    pairs = own.join(q, F.exists("e", lambda x: F.contains("body", F.lower(x))))
+    scored = pairs.select("qid", "doc_id", F.round(scoring.exact_match(F.col("e"), F.col("body")), 6).alias("exact_match"), F.round(scoring.coverage(F.col("e"), F.col("body")), 6).alias("entity_coverage"))
+    rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("exact_match"), F.desc("entity_coverage"), "doc_id"))
+    return scored.withColumn("rn", rn).filter("rn <= 10").drop("rn")
+
+
 @query("""
     WITH d AS (SELECT conv_id, count(*) FILTER (WHERE role <> 'assistant') AS n FROM conversations GROUP BY conv_id)
     SELECT c.conv_id, c.turn, round(CASE WHEN n = 0 OR length(text) = 0 THEN 0.1::DOUBLE ELSE greatest(0.1::DOUBLE, least(1.0::DOUBLE, least(0.8::DOUBLE, n / 5) * 0.6::DOUBLE

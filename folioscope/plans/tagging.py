@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import n_words
 from ..operators import tags
 from ..sources.tables import QUESTIONS, literal, load, values
+from . import registry
 from .registry import query
 
 _Q = values(QUESTIONS, "qid, query")
@@ -17,6 +18,17 @@ def _questions(spark: SparkSession) -> DataFrame:
     return literal(spark, QUESTIONS, "qid int, query string")
 
 
+def _all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, query, place) of all benchmark items and of all user turns; ``place`` orders them, items first."""
+    b = load(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("qid"), F.col("text").alias("query"), F.struct(F.lit(0).alias("o"), F.col("item_id").alias("id"), F.lit(0).cast("long").alias("turn")).alias("place"))
+    c = load(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("qid"), F.col("text").alias("query"), F.struct(F.lit(1).alias("o"), F.col("conv_id").alias("id"), "turn").alias("place"))
+    return b.unionByName(c)
+
+
+_ALL = """(SELECT 'b' || item_id, text, 0, item_id, 0 FROM benchmark
+    UNION ALL SELECT 'c' || conv_id || '-' || turn, text, 1, conv_id, turn FROM conversations WHERE role = 'user') AS t(qid, query, o, id, turn)"""
+
+
 def _has(low: str, parts) -> str:
     return "(" + " OR ".join(f"contains({low}, '{p}')" for p in parts) + ")"
 
@@ -25,11 +37,22 @@ def _first_sql(c: str, rules: dict[str, str]) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({c}, '(?i){p}') THEN '{n}'" for n, p in rules.items()) + " END"
 
 
+def _compliance_gate(rows: DataFrame) -> DataFrame:
+    """The first rule that blocks a question."""
+    rule = tags.first_rule(F.col("query"), tags.COMPLIANCE)
+    return rows.select("qid", rule.alias("rule"), rule.isNotNull().alias("blocked"))
+
+
 @query(f"SELECT qid, {_first_sql('query', tags.COMPLIANCE)} AS rule, {_first_sql('query', tags.COMPLIANCE)} IS NOT NULL AS blocked FROM {_Q}")
 def compliance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule that blocks a question."""
-    rule = tags.first_rule(F.col("query"), tags.COMPLIANCE)
-    return _questions(spark).select("qid", rule.alias("rule"), rule.isNotNull().alias("blocked"))
+    return _compliance_gate(_questions(spark))
+
+
+@query(registry.ORACLE["compliance_gate"].replace(_Q, _ALL))
+def compliance_gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``compliance_gate`` over all benchmark items and user turns."""
+    return _compliance_gate(_all_questions(spark, sf_dir))
 
 
 @query("SELECT rule, count(*) AS n_hits, min(doc_id) AS first_doc FROM documents, "
@@ -55,12 +78,22 @@ _KIND = "CASE " + " ".join(f"WHEN {_has('lower(query)', p)} THEN '{n}'" for n, p
 _TOPICS = ", ".join(f"CASE WHEN {_has('lower(query)', p)} THEN '{n}' END" for n, p in tags.TOPICS.items())
 
 
+def _query_tags(rows: DataFrame) -> DataFrame:
+    q = F.col("query")
+    return rows.select("qid", tags.kind_of_question(q).alias("kind"), tags.complexity(q).alias("complexity"), F.array_join(tags.topics(q), ",").alias("topics"))
+
+
 @query(f"""
     SELECT qid, {_KIND} AS kind, CASE WHEN len(regexp_extract_all(query, '\\S+')) < 5 THEN 'simple' WHEN len(regexp_extract_all(query, '\\S+')) < 15 THEN 'medium'
            ELSE 'complex' END AS complexity, array_to_string([x FOR x IN [{_TOPICS}] IF x IS NOT NULL], ',') AS topics FROM {_Q}""")
 def query_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("query")
-    return _questions(spark).select("qid", tags.kind_of_question(q).alias("kind"), tags.complexity(q).alias("complexity"), F.array_join(tags.topics(q), ",").alias("topics"))
+    return _query_tags(_questions(spark))
+
+
+@query(registry.ORACLE["query_tags"].replace(_Q, _ALL))
+def query_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_tags`` over all benchmark items and user turns."""
+    return _query_tags(_all_questions(spark, sf_dir))
 
 
 @query(f"""
@@ -77,11 +110,21 @@ def _score(ps) -> str:
 _D = list(tags.DOMAINS)
 
 
+def _domain_argmax(rows: DataFrame) -> DataFrame:
+    return rows.select("qid", tags.domain(F.col("query")).alias("domain"))
+
+
 @query(f"""
     WITH s AS (SELECT qid, {_score(tags.DOMAINS[_D[0]])} AS a, {_score(tags.DOMAINS[_D[1]])} AS b, {_score(tags.DOMAINS[_D[2]])} AS c FROM {_Q})
     SELECT qid, CASE WHEN greatest(a, b, c) = 0 THEN NULL WHEN a = greatest(a, b, c) THEN '{_D[0]}' WHEN b = greatest(a, b, c) THEN '{_D[1]}' ELSE '{_D[2]}' END AS domain FROM s""")
 def domain_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark).select("qid", tags.domain(F.col("query")).alias("domain"))
+    return _domain_argmax(_questions(spark))
+
+
+@query(registry.ORACLE["domain_argmax"].replace(_Q, _ALL))
+def domain_argmax_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``domain_argmax`` over all benchmark items and user turns."""
+    return _domain_argmax(_all_questions(spark, sf_dir))
 
 
 def _framework_sql(c: str) -> str:
@@ -96,13 +139,23 @@ _NAMES = ", ".join(tags.FRAMEWORKS)
 _PICK = " ".join(f"WHEN {n} = greatest({_NAMES}) THEN '{n}'" for n in tags.FRAMEWORKS)
 
 
+def _framework_detect(rows: DataFrame) -> DataFrame:
+    name, s = tags.framework(F.col("query"))
+    return rows.select("qid", name.alias("framework"), F.round(s, 4).alias("confidence"))
+
+
 @query(f"""
     WITH s AS (SELECT qid, length(query) >= 100 AS long, {_framework_sql('query')} FROM {_Q})
     SELECT qid, CASE WHEN NOT long OR greatest({_NAMES}) < 0.7 THEN 'general' ELSE CASE {_PICK} END END AS framework,
            round(CASE WHEN long THEN greatest({_NAMES}) ELSE 0 END, 4) AS confidence FROM s""")
 def framework_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, s = tags.framework(F.col("query"))
-    return _questions(spark).select("qid", name.alias("framework"), F.round(s, 4).alias("confidence"))
+    return _framework_detect(_questions(spark))
+
+
+@query(registry.ORACLE["framework_detect"].replace(_Q, "(SELECT doc_id, text FROM documents) AS t(qid, query)"))
+def framework_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``framework_detect`` over all documents."""
+    return _framework_detect(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("query")))
 
 
 @query(f"""
@@ -118,6 +171,19 @@ def processing_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("qid", tags.signature(q).alias("signature"), tags.processing_tier(q, F.coalesce("known", F.lit(False))).alias("tier"))
 
 
+@query(f"""
+    WITH q AS (SELECT qid, query, o, id, turn, trim(lower(query)) AS low, len(regexp_extract_all(query, '\\S+')) AS n,
+        left(sha256(trim(regexp_replace(regexp_replace(lower(query), '[^a-z0-9_ \\t\\n]', '', 'g'), '[ \\t\\n]+', ' ', 'g'))), 16) AS signature FROM {_ALL})
+    SELECT qid, signature, CASE WHEN regexp_matches(low, '{tags.PLAIN}') OR n <= 3 THEN 'fast'
+           WHEN signature IS NOT NULL AND rank() OVER (PARTITION BY signature ORDER BY o, id, turn) > 1 THEN 'cached' ELSE 'full' END AS tier FROM q""")
+def processing_tier_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tier and signature of all benchmark items and user turns; cached is one whose signature an earlier one has."""
+    q = _all_questions(spark, sf_dir).withColumn("signature", tags.signature(F.col("query")))
+    seen = q.filter("signature is not null").groupBy("signature").agg(F.min("place").alias("first"))
+    known = F.coalesce(F.col("place") > F.col("first"), F.lit(False))
+    return q.join(seen, "signature", "left").select("qid", "signature", tags.processing_tier(F.col("query"), known).alias("tier"))
+
+
 @query("""
     WITH v AS (SELECT conv_id, turn, text, 1.0::DOUBLE + CASE WHEN contains(text, '?') THEN 0.3 ELSE 0 END::DOUBLE
         + CASE WHEN contains(lower(text), 'calculate') OR contains(lower(text), 'formula') OR contains(lower(text), 'equation') THEN 0.4 ELSE 0 END::DOUBLE
@@ -128,12 +194,7 @@ def importance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(tags.importance(F.col("text")), 4).alias("importance"))
 
 
-@query(f"""
-    SELECT qid, array_to_string(list_sort(list_distinct([('policy:' || lower(x)) FOR x IN regexp_extract_all(query, '(?i)\\b(universal life|UL|term life|whole life|variable life)\\b')]
-        || [('percent:' || x) FOR x IN regexp_extract_all(query, '[0-9]+(?:\\.[0-9]+)?%')]
-        || [('regulation:' || upper(x)) FOR x IN regexp_extract_all(query, '(?i)\\b(LDTI|GAAP|SAP|VM-[0-9]+|Valuation Manual)\\b')]
-        || [('calculation:' || lower(x)) FOR x IN regexp_extract_all(query, '(?i)\\b(reserve|premium|calculation|NPR)\\b')])), ',') AS entities FROM {_Q}""")
-def message_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _message_entities(rows: DataFrame) -> DataFrame:
     """Entities of four classes, sorted."""
     q = F.col("query")
 
@@ -146,7 +207,23 @@ def message_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         found(r"(?i)\b(LDTI|GAAP|SAP|VM-[0-9]+|Valuation Manual)\b", "regulation", F.upper),
         found(r"(?i)\b(reserve|premium|calculation|NPR)\b", "calculation", F.lower),
     )
-    return _questions(spark).select("qid", F.array_join(F.array_sort(F.array_distinct(own)), ",").alias("entities"))
+    return rows.select("qid", F.array_join(F.array_sort(F.array_distinct(own)), ",").alias("entities"))
+
+
+@query(f"""
+    SELECT qid, array_to_string(list_sort(list_distinct([('policy:' || lower(x)) FOR x IN regexp_extract_all(query, '(?i)\\b(universal life|UL|term life|whole life|variable life)\\b')]
+        || [('percent:' || x) FOR x IN regexp_extract_all(query, '[0-9]+(?:\\.[0-9]+)?%')]
+        || [('regulation:' || upper(x)) FOR x IN regexp_extract_all(query, '(?i)\\b(LDTI|GAAP|SAP|VM-[0-9]+|Valuation Manual)\\b')]
+        || [('calculation:' || lower(x)) FOR x IN regexp_extract_all(query, '(?i)\\b(reserve|premium|calculation|NPR)\\b')])), ',') AS entities FROM {_Q}""")
+def message_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of four classes, sorted."""
+    return _message_entities(_questions(spark))
+
+
+@query(registry.ORACLE["message_entities"].replace(_Q, "(SELECT conv_id || '-' || turn, text FROM conversations) AS t(qid, query)"))
+def message_entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``message_entities`` over all messages."""
+    return _message_entities(load(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit("-"), "turn").alias("qid"), F.col("text").alias("query")))
 
 
 @query("""
@@ -204,15 +281,11 @@ def extractor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.round(conf, 6).alias("confidence"), F.when(conf >= 0.8, "contact").otherwise("general").alias("extractor"), route.alias("route"))
 
 
-@query(f"""
-    SELECT qid, array_to_string(regexp_extract_all(query, '"([^"]+)"', 1), '|') AS quoted,
-           array_to_string(list_sort(list_distinct(regexp_extract_all(query, '[A-Z]{{2,6}}[ -][0-9]+(?:-[0-9]+)*'))), '|') AS codes,
-           array_to_string(list_sort(list_distinct(regexp_extract_all(lower(query), '[a-z]+-[a-z]+'))), '|') AS hyphenated FROM {_Q}""")
-def critical_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _critical_phrases(rows: DataFrame) -> DataFrame:
     """Quoted phrases, codes and hyphenated words of questions."""
     q = F.col("query")
     bag = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), "|")
-    return _questions(spark).select(
+    return rows.select(
         "qid",
         F.array_join(F.regexp_extract_all(q, F.lit('"([^"]+)"'), F.lit(1)), "|").alias("quoted"),
         bag(F.regexp_extract_all(q, F.lit("[A-Z]{2,6}[ -][0-9]+(?:-[0-9]+)*"), F.lit(0))).alias("codes"),
@@ -220,6 +293,21 @@ def critical_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+    SELECT qid, array_to_string(regexp_extract_all(query, '"([^"]+)"', 1), '|') AS quoted,
+           array_to_string(list_sort(list_distinct(regexp_extract_all(query, '[A-Z]{{2,6}}[ -][0-9]+(?:-[0-9]+)*'))), '|') AS codes,
+           array_to_string(list_sort(list_distinct(regexp_extract_all(lower(query), '[a-z]+-[a-z]+'))), '|') AS hyphenated FROM {_Q}""")
+def critical_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted phrases, codes and hyphenated words of questions."""
+    return _critical_phrases(_questions(spark))
+
+
+@query(registry.ORACLE["critical_phrases"].replace(_Q, _ALL))
+def critical_phrases_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``critical_phrases`` over all benchmark items and user turns."""
+    return _critical_phrases(_all_questions(spark, sf_dir))
+
+
 _CAMEL = values([(1, "DeferredPolicyAcquisitionCosts"), (2, "LiabilityForFuturePolicyBenefits"), (3, "NetIncome"), (4, "x")], "id, term")
 
 
