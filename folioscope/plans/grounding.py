@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, dot, n_words, sentences, terms
-from ..operators import scoring
+from ..operators import scoring, search
 from ..sources.tables import load
 from .registry import query
 
@@ -124,6 +124,19 @@ def alignment_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("label").agg(F.round(0.7 * F.max("c") + 0.3 * F.avg("c"), 6).alias("alignment"), F.round(F.stddev_pop("c"), 6).alias("spread"), F.when(n >= 50, "high").when(n >= 20, "medium").otherwise("low").alias("confidence"))
 
 
+@query("""
+    WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
+    s AS (SELECT query_id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS c FROM embeddings, q WHERE embedding IS NOT NULL)
+    SELECT query_id, label, round(0.7::DOUBLE * max(c) + 0.3::DOUBLE * avg(c), 6) AS alignment, round(stddev_pop(c), 6) AS spread,
+           CASE WHEN count(*) >= 50 THEN 'high' WHEN count(*) >= 20 THEN 'medium' ELSE 'low' END AS confidence FROM s GROUP BY query_id, label""")
+def alignment_aggregate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``alignment_aggregate`` for every row whose id is divisible by 100."""
+    v = load(spark, sf_dir, "embeddings")
+    s = search.similarities(v, v.filter("vec_id % 100 = 0"))
+    n = F.count("*")
+    return s.groupBy("query_id", "label").agg(F.round(0.7 * F.max("score") + 0.3 * F.avg("score"), 6).alias("alignment"), F.round(F.stddev_pop("score"), 6).alias("spread"), F.when(n >= 50, "high").when(n >= 20, "medium").otherwise("low").alias("confidence"))
+
+
 @query("""
     WITH r AS (SELECT conv_id, turn, text, lower(text) AS low, len(regexp_extract_all(text, '\\S+')) AS n FROM conversations WHERE role = 'assistant')
     SELECT conv_id, turn, round(0.3::DOUBLE * least(1, n / 200) + 0.3::DOUBLE * CASE WHEN contains(text, '[') THEN 1 ELSE 0.5 END::DOUBLE

@@ -120,6 +120,79 @@ def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(search.hybrid_weighted(*_lists(spark, sf_dir), "doc_id"), 20, "doc_id")
 
 
+#: Each row whose id is divisible by 100 asks for its like among all rows.
+_SIM_ALL = """
+    WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
+    s AS (SELECT query_id, vec_id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE embedding IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)"""
+
+
+def _similar_all(spark: SparkSession, sf_dir: str, labels: tuple[int, ...] = ()) -> DataFrame:
+    v = load(spark, sf_dir, "embeddings")
+    own = v.filter(F.col("label").isin(*labels)) if labels else v
+    return search.similarities(own, v.filter("vec_id % 100 = 0")).select("query_id", "vec_id", "label", "score")
+
+
+@query(_SIM_ALL + " SELECT query_id, vec_id, label, score FROM n WHERE rn <= 10")
+def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for every query."""
+    return search.top_each(_similar_all(spark, sf_dir), 10, "query_id", "vec_id")
+
+
+@query(_SIM_ALL + ", f AS (SELECT query_id, vec_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s WHERE label IN (1, 3)) SELECT query_id, vec_id, label, score FROM f WHERE rn <= 10")
+def vector_topk_filtered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_each(_similar_all(spark, sf_dir, (1, 3)), 10, "query_id", "vec_id")
+
+
+@query(_SIM_ALL + " SELECT query_id, vec_id, label, score FROM n WHERE rn <= 50 AND label IN (1, 3)")
+def vector_topk_postfilter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_each(_similar_all(spark, sf_dir), 50, "query_id", "vec_id").filter(F.col("label").isin(1, 3))
+
+
+@query(_SIM_ALL + " SELECT * FROM s WHERE score >= 0.3")
+def vector_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar_all(spark, sf_dir).filter("score >= 0.3")
+
+
+_LISTS_ALL = _BM25 + ", " + _SIM_ALL.strip().removeprefix("WITH ") + """, ids AS (SELECT query_id FROM q),
+    k AS (SELECT query_id, doc_id, score FROM ids, (SELECT doc_id, score FROM r ORDER BY score DESC, doc_id LIMIT 100) AS x),
+    v AS (SELECT query_id, vec_id AS doc_id, score FROM n WHERE rn <= 100)"""
+# the row of totals in _BM25 is also called s
+_LISTS_ALL = _LISTS_ALL.replace("    s AS (SELECT query_id", "    sim AS (SELECT query_id").replace("AS rn FROM s)", "AS rn FROM sim)")
+
+
+def _lists_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hit lists (query_id, doc_id, score) by vector and by keyword; the keywords are the same for every query."""
+    v = search.top_each(_similar_all(spark, sf_dir), 100, "query_id", "vec_id").select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    ids = load(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0 and embedding is not null").select(F.col("vec_id").alias("query_id"))
+    k = search.top(search.bm25(load(spark, sf_dir, "documents"), TERMS), 100, "doc_id").select("doc_id", "score")
+    return v, ids.crossJoin(F.broadcast(k)).select("query_id", "doc_id", "score")
+
+
+@query(_LISTS_ALL + """
+    SELECT query_id, doc_id, greatest(v.score, k.score) AS score,
+           CASE WHEN v.score IS NULL THEN 'keyword' WHEN k.score IS NULL THEN 'vector' ELSE 'hybrid' END AS search_type
+    FROM v FULL JOIN k USING (query_id, doc_id)""")
+def hybrid_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both lists of every query, merged."""
+    v, k = (x.select("query_id", "doc_id", F.col("score").alias(n)) for x, n in zip(_lists_all(spark, sf_dir), ("v", "k")))
+    kind = F.when(F.col("v").isNull(), "keyword").when(F.col("k").isNull(), "vector").otherwise("hybrid")
+    return v.join(k, ["query_id", "doc_id"], "full_outer").select("query_id", "doc_id", F.greatest("v", "k").alias("score"), kind.alias("search_type"))
+
+
+@query(_LISTS_ALL + """, vm AS (SELECT query_id, max(score) AS most FROM v GROUP BY query_id), km AS (SELECT query_id, max(score) AS most FROM k GROUP BY query_id),
+    w AS (SELECT query_id, doc_id, round(0.6::DOUBLE * coalesce(v.score / vm.most, 0) + 0.4::DOUBLE * coalesce(k.score / km.most, 0), 4) AS score
+          FROM v FULL JOIN k USING (query_id, doc_id) LEFT JOIN vm USING (query_id) LEFT JOIN km USING (query_id))
+    SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM w) WHERE rn <= 20""")
+def hybrid_weighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both lists of every query, normalised by their maxima and added with weights: the best twenty."""
+    most = F.max("score").over(Window.partitionBy("query_id"))  # at most 100 rows
+    v, k = (x.withColumn("most", most).select("query_id", "doc_id", (F.col("score") / F.col("most")).alias(n)) for x, n in zip(_lists_all(spark, sf_dir), ("v", "k")))
+    total = 0.6 * F.coalesce("v", F.lit(0.0)) + 0.4 * F.coalesce("k", F.lit(0.0))
+    both = v.join(k, ["query_id", "doc_id"], "full_outer").select("query_id", "doc_id", F.round(total, 4).alias("score"))
+    return search.top_each(both, 20, "query_id", "doc_id")
+
+
 @query("SELECT doc_id, source, lang FROM documents WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3')")
 def payload_filter_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang")

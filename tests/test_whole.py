@@ -27,3 +27,13 @@ def test_tags_of_all_rows(spark, asked):
     assert run("message_entities_all")["1-1"]["entities"] == "calculation:reserve,percent:15%,regulation:GAAP"
     assert {k: r["framework"] for k, r in run("framework_detect_all").items()} == {1: "ifrs", 2: "general", 3: "general"}
     assert [(r["qid"], r["doc_id"]) for r in registry.QUERIES["relevance_rank_all"](spark, asked).collect()] == [(1, 3)]
+
+
+def test_every_vector_query(spark, tmp_path):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0], k % 4) for k in range(1, 301)] + [(400, None, 1)]  # no row 0
+    write(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {(q, v) for q in (100, 200, 300) for v in sorted(range(1, 301), key=lambda v: (-score(rows[q - 1][1], rows[v - 1][1]), v))[:10]}
+    assert {(r["query_id"], r["vec_id"]) for r in registry.QUERIES["vector_topk_all"](spark, tmp_path).collect()} == want
+    assert registry.QUERIES["vector_threshold_all"](spark, tmp_path).count() == 3 * 300
+    assert {r["query_id"] for r in registry.QUERIES["alignment_aggregate_all"](spark, tmp_path).collect()} == {100, 200, 300}
