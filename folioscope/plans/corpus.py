@@ -70,6 +70,16 @@ def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.match_registry(d.filter("doc_id % 2 = 1"), ingest.registry(d.filter("doc_id % 2 = 0")))
 
 
+@query("""
+    WITH r AS (SELECT sha256(text) AS hash, min(doc_id) AS first_doc FROM documents GROUP BY 1)
+    SELECT d.doc_id, coalesce(r.first_doc, d.doc_id) AS job, coalesce(d.doc_id > r.first_doc, false) AS duplicate FROM documents d LEFT JOIN r ON r.hash = sha256(d.text)""")
+def duplicate_uploads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every upload against all earlier ones, which are those with a smaller id."""
+    d = load(spark, sf_dir, "documents")
+    job = ingest.match_registry(d, ingest.registry(d))
+    return job.select("doc_id", "job", (F.col("doc_id") > F.col("job")).alias("duplicate"))
+
+
 @query("SELECT source, any_value(prefix) AS prefix, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT source, left(text, 100) AS prefix, doc_id FROM documents) GROUP BY source, prefix")
 def prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First of the documents of a source that begin alike."""

@@ -37,3 +37,10 @@ def test_every_vector_query(spark, tmp_path):
     assert {(r["query_id"], r["vec_id"]) for r in registry.QUERIES["vector_topk_all"](spark, tmp_path).collect()} == want
     assert registry.QUERIES["vector_threshold_all"](spark, tmp_path).count() == 3 * 300
     assert {r["query_id"] for r in registry.QUERIES["alignment_aggregate_all"](spark, tmp_path).collect()} == {100, 200, 300}
+
+
+def test_every_upload_is_looked_up(spark, tmp_path):
+    rows = [(1, "a"), (2, "b"), (3, "a"), (4, "b"), (6, "c"), (5, "c"), (8, None), (10, None)]  # copies among odd ids, among even ids, an even id after an odd one
+    write(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["job"], r["duplicate"]) for r in registry.QUERIES["duplicate_uploads_all"](spark, tmp_path).collect()}
+    assert got == {1: (1, False), 2: (2, False), 3: (1, True), 4: (2, True), 5: (5, False), 6: (5, True), 8: (8, False), 10: (10, False)}
