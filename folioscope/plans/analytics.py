@@ -59,6 +59,13 @@ def audit_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", "ts", "user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
 
 
+@query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 100")
+def audit_recent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest hundred audit events of all users."""
+    own = _events(spark, sf_dir).filter("event_type in ('error', 'signup') and ts >= timestamp_ntz'2024-01-05' and ts < timestamp_ntz'2024-01-20'")
+    return own.select("event_id", "ts", "user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
+
+
 @query("SELECT event_id, user_id FROM events WHERE contains(lower(event_type || ' ' || props), 'up {\"k\": 7') ")
 def audit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase in the text of an event."""

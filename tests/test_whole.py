@@ -44,3 +44,9 @@ def test_every_upload_is_looked_up(spark, tmp_path):
     write(spark, tmp_path, "documents", rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["job"], r["duplicate"]) for r in registry.QUERIES["duplicate_uploads_all"](spark, tmp_path).collect()}
     assert got == {1: (1, False), 2: (2, False), 3: (1, True), 4: (2, True), 5: (5, False), 6: (5, True), 8: (8, False), 10: (10, False)}
+
+
+def test_audit_of_every_user(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"2024-01-06 00:{k % 60:02}:00", 40 + k, "error") for k in range(30)], "event_id long, ts string, user_id long, event_type string")
+    rows.selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["user_id"] for r in registry.QUERIES["audit_recent_all"](spark, tmp_path).collect()] == list(range(69, 39, -1))
