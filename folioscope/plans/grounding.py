@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, dot, n_words, sentences, terms
 from ..operators import scoring, search
 from ..sources.tables import load
+from . import registry
 from .registry import query
 
 _PAIRS = """
@@ -56,14 +57,28 @@ def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(scoring.evidence_coverage(F.col("response"), F.col("sources")), 6).alias("coverage"))
 
 
+def _alignment() -> Column:
+    """From the terms of question, answer and sources in q, r and d; 0.5 without terms."""
+    both = (F.size(F.array_intersect("q", "r")) / F.size("q") + F.size(F.array_intersect("r", "d")) / F.size("r")) / 2
+    return F.when((F.size("q") == 0) | (F.size("r") == 0), 0.5).otherwise(both)
+
+
 @query(_PAIRS + f"""
     , v AS (SELECT *, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]{{4,}}')) AS qc, {_T4} AS rc, list_distinct(regexp_extract_all(src, '[a-z0-9_]{{4,}}')) AS dc FROM p)
     SELECT conv_id, turn, round(CASE WHEN len(qc) = 0 OR len(rc) = 0 THEN 0.5 ELSE (len(list_intersect(qc, rc)) / len(qc) + len(list_intersect(rc, dc)) / len(rc)) / 2 END::DOUBLE, 6) AS alignment FROM v""")
 def concept_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _pairs(spark, sf_dir).select("conv_id", "turn", terms(F.col("question")).alias("q"), terms(F.col("response")).alias("r"), terms(F.col("sources")).alias("d"))
-    both = (F.size(F.array_intersect("q", "r")) / F.size("q") + F.size(F.array_intersect("r", "d")) / F.size("r")) / 2
-    return v.select("conv_id", "turn", F.round(F.when((F.size("q") == 0) | (F.size("r") == 0), 0.5).otherwise(both), 6).alias("alignment"))
+    return v.select("conv_id", "turn", F.round(_alignment(), 6).alias("alignment"))
+
 
+def _attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, n_segments, share) of answers that have sentences."""
+    c = load(spark, sf_dir, "conversations")
+    seg = c.filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(sentences(F.col("text"), 10)).alias("pos", "s")).select("conv_id", "turn", "pos", terms(F.col("s")).alias("w"))
+    d = c.filter("role <> 'assistant'").select("conv_id", terms(F.col("text")).alias("d"))
+    over = F.when(F.size("w") > 0, F.size(F.array_intersect("w", "d")) / F.size("w")).otherwise(0.0)
+    best = seg.join(d, "conv_id").groupBy("conv_id", "turn", "pos").agg(F.max(over).alias("best"))
+    return best.groupBy("conv_id", "turn").agg(F.count("*").alias("n_segments"), (F.count_if(F.col("best") >= 0.25) / F.count("*")).alias("share"))
 
 @query(_PAIRS + """
     , g AS (SELECT conv_id, turn, pos, list_distinct(regexp_extract_all(lower(seg), '[a-z0-9_]{4,}')) AS w FROM (SELECT conv_id, turn, unnest([trim(x) FOR x IN regexp_split_to_array(response, '[.!?]+') IF length(trim(x)) > 10]) AS seg,
@@ -73,12 +88,7 @@ def concept_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, turn, count(*) AS n_segments, round(count_if(best >= 0.25::DOUBLE) / count(*), 6) AS attributed FROM m GROUP BY conv_id, turn""")
 def source_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of sentences of which one source holds at least a quarter of the terms."""
-    c = load(spark, sf_dir, "conversations")
-    seg = c.filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(sentences(F.col("text"), 10)).alias("pos", "s")).select("conv_id", "turn", "pos", terms(F.col("s")).alias("w"))
-    d = c.filter("role <> 'assistant'").select("conv_id", terms(F.col("text")).alias("d"))
-    over = F.when(F.size("w") > 0, F.size(F.array_intersect("w", "d")) / F.size("w")).otherwise(0.0)
-    best = seg.join(d, "conv_id").groupBy("conv_id", "turn", "pos").agg(F.max(over).alias("best"))
-    return best.groupBy("conv_id", "turn").agg(F.count("*").alias("n_segments"), F.round(F.count_if(F.col("best") >= 0.25) / F.count("*"), 6).alias("attributed"))
+    return _attribution(spark, sf_dir).select("conv_id", "turn", "n_segments", F.round("share", 6).alias("attributed"))
 
 
 _RISKS = [r"(?is)current ratio.*current assets.*current liabilities", r"(?i)generally accepted accounting principles", r"(?im)^(?:here are|the following are|these include)", r"(?i)in general|typically|usually|commonly", r"(?i)license"]
@@ -102,6 +112,26 @@ def grounding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("conv_id", "turn", F.round(s, 6).alias("score"), (s >= 0.4 + F.when(F.col("k") > 0.7, 0.2).otherwise(0.0)).alias("grounded"))
 
 
+@query(_PAIRS + _COVER + f"""
+    , ca AS (SELECT conv_id, turn, response, low, src, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]{{4,}}')) AS qc, {_T4} AS rc, list_distinct(regexp_extract_all(src, '[a-z0-9_]{{4,}}')) AS dc FROM p),
+    att AS (SELECT conv_id, turn, attributed FROM ({registry.ORACLE["source_attribution"].replace("round(count_if(best >= 0.25::DOUBLE) / count(*), 6)", "count_if(best >= 0.25::DOUBLE) / count(*)")})),
+    v AS (SELECT ca.conv_id, ca.turn, 0.3::DOUBLE * coalesce(cover, 0.5)::DOUBLE + 0.25::DOUBLE
+            + 0.2::DOUBLE * CASE WHEN len(qc) = 0 OR len(rc) = 0 THEN 0.5 ELSE (len(list_intersect(qc, rc)) / len(qc) + len(list_intersect(rc, dc)) / len(rc)) / 2 END::DOUBLE
+            + 0.25::DOUBLE * coalesce(attributed, 0.5)::DOUBLE AS s, ({_RISK})::DOUBLE AS r FROM ca LEFT JOIN e USING (conv_id, turn) LEFT JOIN att USING (conv_id, turn))
+    SELECT conv_id, turn, round(s * (1 - 0.5::DOUBLE * r), 6) AS score, s * (1 - 0.5::DOUBLE * r) >= 0.4 + CASE WHEN r > 0.7 THEN 0.2 ELSE 0 END AS grounded FROM v""")
+def grounding_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four parts of the reference with its weights, less by risk; an answer without sentences counts as half attributed.
+
+    The reference took the check of numbers out: its part is always 1 (grounding_validator.py:161).
+    """
+    r = F.col("response")
+    parts = {"evidence": scoring.evidence_coverage(r, F.col("sources")), "numbers": F.lit(1.0), "concepts": _alignment(), "attribution": F.coalesce("share", F.lit(0.5))}
+    v = _pairs(spark, sf_dir).join(_attribution(spark, sf_dir), ["conv_id", "turn"], "left").withColumns({"q": terms(F.col("question")), "r": terms(r), "d": terms(F.col("sources"))})
+    v = v.select("conv_id", "turn", *[c.alias(k) for k, c in parts.items()], scoring.generic_risk(r).alias("k"))
+    s = scoring.grounding_score({k: F.col(k) for k in parts}, {"evidence": 0.3, "numbers": 0.25, "concepts": 0.2, "attribution": 0.25}, F.col("k"))
+    return v.select("conv_id", "turn", F.round(s, 6).alias("score"), (s >= 0.4 + F.when(F.col("k") > 0.7, 0.2).otherwise(0.0)).alias("grounded"))
+
+
 @query(_PAIRS + """
     SELECT conv_id, turn, CAST(len(n) AS BIGINT) AS n_numbers, len([x FOR x IN n IF NOT contains(sources, x)]) = 0 AS all_found
     FROM (SELECT *, [x FOR x IN list_distinct(regexp_extract_all(response, '[0-9]+')) IF length(x) > 1] AS n FROM p)""")

@@ -50,3 +50,11 @@ def test_audit_of_every_user(spark, tmp_path):
     rows = spark.createDataFrame([(k, f"2024-01-06 00:{k % 60:02}:00", 40 + k, "error") for k in range(30)], "event_id long, ts string, user_id long, event_type string")
     rows.selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
     assert [r["user_id"] for r in registry.QUERIES["audit_recent_all"](spark, tmp_path).collect()] == list(range(69, 39, -1))
+
+
+def test_grounding_has_four_parts(spark, tmp_path):
+    rows = [(1, 0, "user", "alpha beta gamma delta"), (1, 1, "assistant", "Alpha beta gamma delta."), (1, 2, "assistant", "Gammaalpha deltabeta unrelated wordsonly."), (1, 3, "assistant", "Ok."), (1, 4, "system", "x gammaalpha deltabeta")]
+    write(spark, tmp_path, "conversations", rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: (r["score"], r["grounded"]) for r in registry.QUERIES["grounding_score_all"](spark, tmp_path).collect()}
+    # no claims: evidence 0.5; numbers 1; concepts (1+1)/2, (0+2/4)/2, 0.5; sentences attributed 1, 1, none
+    assert got == {1: (0.85, True), 2: (0.7, True), 3: (0.625, True)}
