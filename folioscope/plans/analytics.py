@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import tags, usage
-from ..sources.tables import load
+from ..sources.tables import QUESTIONS, load, values
+from . import registry
 from .registry import query
+from .tagging import entities_of
 
 #: The moment from which trailing windows look back.
 NOW = "2024-01-25 00:00:00"
@@ -160,6 +162,26 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.countDistinct("opening").alias("n_openings"), F.round(F.avg("i"), 2).alias("importance"))
 
 
+_FOUND = registry.ORACLE["message_entities"].replace(values(QUESTIONS, "qid, query"), "(SELECT conv_id, text FROM conversations) AS t(qid, query)")
+
+
+@query(f"""
+    WITH v AS (SELECT conv_id, turn, text, 1.0::DOUBLE + CASE WHEN contains(text, '?') THEN 0.3 ELSE 0 END::DOUBLE
+        + CASE WHEN contains(lower(text), 'calculate') OR contains(lower(text), 'formula') OR contains(lower(text), 'equation') THEN 0.4 ELSE 0 END::DOUBLE
+        + CASE WHEN regexp_matches(text, '[0-9]+(?:\\.[0-9]+)?%') THEN 0.3 ELSE 0 END::DOUBLE
+        + CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])(section|vm-|ldti|gaap)') THEN 0.2 ELSE 0 END::DOUBLE AS s FROM conversations),
+    e AS (SELECT qid AS conv_id, count(DISTINCT e) AS n_entities FROM (SELECT qid, unnest(string_split(entities, ',')) AS e FROM ({_FOUND})) WHERE e <> '' GROUP BY qid)
+    SELECT conv_id, count(*) AS n_messages, coalesce(any_value(n_entities), 0) AS n_entities, round(avg(least(2.0::DOUBLE, CASE WHEN length(text) < 50 THEN s * 0.8::DOUBLE ELSE s END)), 2) AS importance
+    FROM v LEFT JOIN e USING (conv_id) GROUP BY conv_id""")
+def session_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, distinct entities of whole texts and mean importance of each conversation."""
+    c = load(spark, sf_dir, "conversations")
+    own = c.select("conv_id", tags.importance(F.col("text")).alias("i"))
+    own = own.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.round(F.avg("i"), 2).alias("importance"))
+    found = c.select("conv_id", F.explode(entities_of(F.col("text"))).alias("e")).groupBy("conv_id").agg(F.countDistinct("e").alias("n_entities"))
+    return own.join(found, "conv_id", "left").select("conv_id", "n_messages", F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities"), "importance")
+
+
 @query("""
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
     SELECT conv_id, string_agg(left(text, 300), chr(10) ORDER BY turn) AS context FROM r WHERE rn <= 5 GROUP BY conv_id""")
@@ -167,6 +189,14 @@ def recent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.recent(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text", last=5)
 
 
+@query("""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
+    SELECT conv_id, string_agg(left(text, 300), chr(10) ORDER BY turn) AS context FROM r WHERE rn <= 10 GROUP BY conv_id""")
+def recent_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ten messages of each conversation."""
+    return usage.recent(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
 @query("""
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
     SELECT conv_id, turn, role, length(text) AS n_chars FROM r WHERE n >= 6 AND rn <= floor(n * 0.3)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import n_words
@@ -194,10 +194,8 @@ def importance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(tags.importance(F.col("text")), 4).alias("importance"))
 
 
-def _message_entities(rows: DataFrame) -> DataFrame:
-    """Entities of four classes, sorted."""
-    q = F.col("query")
-
+def entities_of(q: Column) -> Column:
+    """Distinct entities of four classes, sorted."""
     def found(pattern: str, name: str, case) -> object:
         return F.transform(F.regexp_extract_all(q, F.lit(pattern), F.lit(0)), lambda x: F.concat(F.lit(name + ":"), case(x)))
 
@@ -207,7 +205,12 @@ def _message_entities(rows: DataFrame) -> DataFrame:
         found(r"(?i)\b(LDTI|GAAP|SAP|VM-[0-9]+|Valuation Manual)\b", "regulation", F.upper),
         found(r"(?i)\b(reserve|premium|calculation|NPR)\b", "calculation", F.lower),
     )
-    return rows.select("qid", F.array_join(F.array_sort(F.array_distinct(own)), ",").alias("entities"))
+    return F.array_sort(F.array_distinct(own))
+
+
+def _message_entities(rows: DataFrame) -> DataFrame:
+    """Entities of four classes, sorted."""
+    return rows.select("qid", F.array_join(entities_of(F.col("query")), ",").alias("entities"))
 
 
 @query(f"""

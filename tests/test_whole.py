@@ -58,3 +58,12 @@ def test_grounding_has_four_parts(spark, tmp_path):
     got = {r["turn"]: (r["score"], r["grounded"]) for r in registry.QUERIES["grounding_score_all"](spark, tmp_path).collect()}
     # no claims: evidence 0.5; numbers 1; concepts (1+1)/2, (0+2/4)/2, 0.5; sentences attributed 1, 1, none
     assert got == {1: (0.85, True), 2: (0.7, True), 3: (0.625, True)}
+
+
+def test_entities_and_ten_messages_of_conversations(spark, tmp_path):
+    rows = [(1, k, "user", f"The same twenty signs and more: {w}") for k, w in enumerate(["GAAP", "gaap and 5%", "the reserve", *"abcdefghi"])] + [(2, 0, "user", "nothing here")]
+    write(spark, tmp_path, "conversations", rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["n_messages"], r["n_entities"]) for r in registry.QUERIES["session_stats_all"](spark, tmp_path).collect()}
+    assert got == {1: (12, 3), 2: (1, 0)}
+    got = {r["conv_id"]: r["context"] for r in registry.QUERIES["recent_context_all"](spark, tmp_path).collect()}
+    assert got == {1: "\n".join(r[3] for r in rows[2:12]), 2: "nothing here"}
