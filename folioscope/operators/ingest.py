@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -72,3 +72,31 @@ def uncovered(boxes: DataFrame, share: float = 0.5) -> DataFrame:
     high = F.greatest(F.lit(0.0), F.least("l.y1", "s.y1") - F.greatest("l.y0", "s.y0"))
     larger = (F.col("l.area") > F.col("s.area")) | ((F.col("l.area") == F.col("s.area")) & (F.col("l.box") < F.col("s.box")))
     return s.join(big, (F.col("s.page") == F.col("l.page")) & (F.col("s.box") != F.col("l.box")) & larger & (wide * high > share * F.col("s.area")), "left_anti")
+
+
+#: Ids of one range of a hot group, which one task orders.
+RANGE = 4096
+
+
+def _ranged(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the range of their id; rows without one come first, as in a sort."""
+    return rows.withColumn("_range", F.coalesce(F.floor(F.col(key) / RANGE).cast("long"), F.lit(-(1 << 62))))
+
+
+def numbered(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """Rows numbered from 1 in each group (not null) by key: ranks within a range, and the rows of the ranges before it."""
+    own = _ranged(rows, key)
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = own.groupBy(group, "_range").agg(F.count("*").alias("_n")).select(group, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(group, "_range").orderBy(key))
+    return own.withColumn("_rank", rank).join(sizes, [group, "_range"]).withColumn(name, (F.col("_rank") + F.col("_before")).cast("long")).drop("_range", "_rank", "_before")
+
+
+def lagged(rows: DataFrame, group: str, key: str, columns: list[str], name: str) -> DataFrame:
+    """Rows with ``columns`` of the row before them in their group as a struct: the last row of each range is carried over."""
+    own = _ranged(rows, key).withColumn("_own", F.struct(*columns))
+    last = own.groupBy(group, "_range").agg(F.max_by("_own", F.struct(F.col(key))).alias("_last"))
+    carried = last.select(F.col(group).alias("_group"), F.col("_range").alias("_r"), F.lag("_last").over(Window.partitionBy(group).orderBy("_range")).alias("_carried"))
+    here = F.lag("_own").over(Window.partitionBy(group, "_range").orderBy(key))
+    both = own.withColumn("_here", here).join(carried, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    return both.withColumn(name, F.coalesce("_here", "_carried")).drop("_range", "_own", "_group", "_r", "_carried", "_here")

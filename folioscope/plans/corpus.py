@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -40,9 +40,9 @@ def composite_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much a document changed against the one before it of the same source."""
     d = load(spark, sf_dir, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
     own = d.select("doc_id", "source", tx.content_hash(F.col("text")).alias("content_hash"), tx.structure_hash(F.col("text")).alias("structure_hash"), ingest.metadata_hash("source", "lang").alias("metadata_hash"))
-    v = own.withColumns({"before": F.lag("doc_id").over(w)} | {f"old_{c}": F.lag(c).over(w) for c in ("content_hash", "structure_hash", "metadata_hash")})
+    hashes = ["content_hash", "structure_hash", "metadata_hash"]
+    v = ingest.lagged(own, "source", "doc_id", ["doc_id", *hashes], "old").select("*", F.col("old.doc_id").alias("before"), *[F.col(f"old.{c}").alias(f"old_{c}") for c in hashes])
     severity = F.when(F.col("structure_hash") != F.col("old_structure_hash"), "major").when(F.col("content_hash") != F.col("old_content_hash"), "moderate").when(F.col("metadata_hash") != F.col("old_metadata_hash"), "minor").otherwise("none")
     return v.filter("before is not null").select("doc_id", "before", severity.alias("severity"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, dot, n_words, sentences, terms
-from ..operators import scoring, search
+from ..operators import ingest, scoring, search
 from ..sources.tables import load
 from . import registry
 from .registry import query
@@ -201,8 +201,8 @@ def negative_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered citations with an excerpt, after the filter."""
     own = load(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("license")) & F.col("source").isNotNull())
-    v = own.withColumn("id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long"))
-    return v.select("doc_id", F.col("id").alias("citation"), F.concat("source", F.lit(" ["), F.col("id").cast("string"), F.lit("]")).alias("label"), F.substring("text", 1, 200).alias("excerpt"))
+    v = ingest.numbered(own.select("doc_id", "source", F.substring("text", 1, 200).alias("excerpt")), "source", "doc_id", "id")
+    return v.select("doc_id", F.col("id").alias("citation"), F.concat("source", F.lit(" ["), F.col("id").cast("string"), F.lit("]")).alias("label"), "excerpt")
 
 
 @query("""

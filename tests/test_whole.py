@@ -1,5 +1,7 @@
 """The queries named *_all do their job on every row of the tables."""
 
+import re
+
 import pytest
 
 from folioscope.plans import registry
@@ -67,3 +69,17 @@ def test_entities_and_ten_messages_of_conversations(spark, tmp_path):
     assert got == {1: (12, 3), 2: (1, 0)}
     got = {r["conv_id"]: r["context"] for r in registry.QUERIES["recent_context_all"](spark, tmp_path).collect()}
     assert got == {1: "\n".join(r[3] for r in rows[2:12]), 2: "nothing here"}
+
+
+@pytest.mark.parametrize("name", ["citations", "version_diff"])
+def test_hot_source_is_ordered_by_ranges(spark, tmp_path, name):
+    rows = [(k * 1000, f"a license of kind {k // 2}", "hot", "en") for k in range(20)] + [(7, "a license", "cold", "en")]
+    write(spark, tmp_path, "documents", rows, "doc_id long, text string, source string, lang string")
+    df = registry.QUERIES[name](spark, tmp_path)
+    got = {r["doc_id"]: tuple(r)[1:] for r in df.collect()}
+    if name == "citations":
+        assert got == {d: (k, f"{s} [{k}]", t) for d, t, s, _, k in [(*r, i + 1) for i, r in enumerate(rows[:20])] + [(*rows[20], 1)]}
+    else:
+        assert got == {k * 1000: ((k - 1) * 1000, "none" if k % 2 else "moderate") for k in range(1, 20)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\[source#\d+\], \[doc_id#", plan)
