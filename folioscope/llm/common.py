@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most this many narrow rows (under 100 bytes each, so under 20 MB).
 BROADCAST_ROWS = 200_000
 #: Bytes of an Arrow batch, about.
 BATCH_BYTES = "4m"
+#: Parts whose totals one task adds up in ``running_totals``.
+RANGE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a fresh local one where it is unset, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a fresh temporary one is made if driver and executors are one process; a cluster must name it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,7 +44,47 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def absent(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as it takes to clash with none of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def plain(name: str):
+    """The column of this very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def running_totals(df: DataFrame, part: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before, ordered by ``part`` (an int) and then ``order``.
+
+    In three levels, so that no task sees all rows: within a part, over the parts of a range, and over the ranges,
+    of which there is one for every ``RANGE`` parts.
+    """
+    before = lambda w: F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = df.groupBy(F.col(part).alias("_p")).agg(F.sum(value).alias("_v")).withColumn("_r", F.floor(F.col("_p") / RANGE))
+    ranges = parts.groupBy("_r").agg(F.sum("_v").alias("_v")).select("_r", before(Window.orderBy("_r")).alias("_first"))
+    parts = parts.withColumn("_in", before(Window.partitionBy("_r").orderBy("_p"))).join(ranges, "_r").select("_p", (F.col("_in") + F.col("_first")).alias("_base"))
+    own = df.withColumn("_v", F.col(value)).withColumn("_own", before(Window.partitionBy(part).orderBy(*order)))
+    return own.join(parts, F.col(part) == F.col("_p")).withColumn(name, F.col("_base") + F.col("_own")).drop("_v", "_own", "_p", "_base")
 
 
 def map_batches(df: DataFrame, run, schema, encoders: bool = False) -> DataFrame:
@@ -46,14 +94,16 @@ def map_batches(df: DataFrame, run, schema, encoders: bool = False) -> DataFrame
     frees its encoders here, unless ``encoders`` says that this step, or one in the same stage, tokenizes.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    if encoders:
-        return df.mapInArrow(run, schema)
 
     def freed(batches):
+        import pyarrow as pa
+
         from . import tokens
 
-        tokens.release()
+        if not encoders:
+            tokens.release()
         yield from run(batches)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(freed, schema)
 
@@ -138,9 +188,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     ``links`` holds pairs of non-null longs in any order, repeats allowed. Each round replaces the links by links
     from larger neighbours to the smallest, written to the shared folder; it stops once only stars are left, which
     takes a logarithmic number of rounds. A hub's rows meet only in aggregations with partial sums and in joins of
-    written tables, whose skewed partitions adaptive execution splits.
+    written tables, whose skewed partitions adaptive execution splits. The tables of a round are deleted once the next
+    has been written.
     """
-    e = written(_thinned(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")), "links")
+    e = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
     for _ in range(rounds):
         # Every node's smallest neighbour, itself included. A node with larger neighbours hands them over.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -155,7 +206,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
                 stars = large.select(F.col("u").alias("node"), F.col("v").alias("component"))
                 return stars.unionByName(large.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("w"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("w").alias("v"))
-        e = written(_thinned(small.filter("u <> v")), "links")
+        old, e = e, written(_thinned(small.filter("u <> v")), "links")
+        discard(old, least, large, low)
     raise RuntimeError("links did not settle; raise rounds")
 
 
@@ -165,7 +217,7 @@ def _thinned(e: DataFrame) -> DataFrame:
     def forest(batches):
         import pyarrow as pa
 
-        for t in _chunks(batches, 1_000_000):
+        for t in _chunks(batches, 200_000):
             u, v = t
             nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
             lab = numpy_components(len(nodes), at[: len(u)], at[len(u) :])

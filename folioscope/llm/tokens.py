@@ -34,8 +34,9 @@ def _class(points: list[int]) -> str:
 
 _USUAL = _usual()
 _UNUSUAL = re.compile(f"[^{_class(_USUAL)}]")
-#: Distinct words held by one Python worker at a time; beyond it the cache starts again (results do not change).
-CACHE_WORDS = 800_000
+#: Distinct words held by one Python worker at a time, about 20 MB; beyond it the cache starts again (results do not
+#: change).
+CACHE_WORDS = 100_000
 
 
 def load_tokenizer(path: str):
@@ -113,7 +114,7 @@ class WordCache:
         return self.known.__getitem__
 
 
-def text_blocks(batch, column: str = "text", chars: int = 2_000_000):
+def text_blocks(batch, column: str = "text", chars: int = 500_000):
     """(first row, texts) in runs of about ``chars`` characters, so that memory stays small however long texts are."""
     col = batch.column(batch.schema.get_field_index(column))
     at = 0
