@@ -24,20 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse_filter
-from .common import small_side, written
+from .common import absent, plain, small_side, written
 
 #: Distinct digests that one bucket's filter holds, about.
 BUCKET = 50_000
 #: Rows of a group that meet one copy of the row that stays.
-SALT_ROWS = 512
+SALT_ROWS = 64
 
 
 def _digest():
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def _bucket(n: int):
-    return F.pmod(F.conv(F.hex(F.substring("digest", 9, 4)), 16, 10).cast("long"), F.lit(n)).cast("int")
+def _bucket(n: int, first: int = 9):
+    """A number below ``n`` from four bytes of the digest; filters see its first eight bytes only."""
+    return F.pmod(F.conv(F.hex(F.substring("digest", first, 4)), 16, 10).cast("long"), F.lit(n)).cast("int")
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
@@ -73,7 +74,12 @@ class Snapshot:
         return cls(own, written(made, "filters"), n)
 
     def screen(self, own: DataFrame) -> DataFrame:
-        """The rows of ``own`` (digest, keep_id, n; distinct digests) whose digest the filters let through."""
+        """The rows of ``own`` (digest, keep_id, n; distinct digests) whose digest the filters let through.
+
+        A batch far larger than the snapshot meets copies of each filter, so that no task gets much over ``BUCKET``
+        digests.
+        """
+        parts = max(1, -(-own.count() // (self.buckets * BUCKET)))
 
         def probe(left, right):
             import pyarrow as pa
@@ -83,7 +89,9 @@ class Snapshot:
             hit = fuse_filter.probe(right.column("filter")[0].as_py(), _heads(left.column("digest").to_pylist()))
             return left.filter(pa.array(hit)).select(["digest", "keep_id", "n"])
 
-        pairs = own.withColumn("bucket", _bucket(self.buckets)).groupBy("bucket").cogroup(self.filters.groupBy("bucket"))
+        dealt = own.withColumns({"bucket": _bucket(self.buckets), "part": _bucket(parts, 13)})
+        filters = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = dealt.groupBy("bucket", "part").cogroup(filters.groupBy("bucket", "part"))
         return pairs.applyInArrow(probe, "digest binary, keep_id long, n long")
 
 
@@ -148,9 +156,10 @@ def decided(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that exact dedup drops; all columns stay."""
+    """``docs`` without the rows that exact dedup drops; all columns stay, whatever their names."""
     rows = written(digest_rows(docs).withColumn("snap", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), "digests")
-    several = several_groups(docs, rows).select("digest", F.col("keep_id").alias("_keep_id"))
-    marked = docs.withColumn("_digest", _digest()).join(small_side(several.withColumnRenamed("digest", "_digest")), "_digest", "left")
-    stays = F.col("_keep_id").isNull() | (F.col("doc_id") == F.col("_keep_id"))
-    return marked.filter(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest, keep = absent(docs.columns, "digest", "keep_id")
+    several = several_groups(docs, rows).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
+    marked = docs.withColumn(digest, _digest()).join(small_side(several), digest, "left")
+    stays = plain(keep).isNull() | (F.col("doc_id") == plain(keep))
+    return marked.filter(stays).select(*map(plain, docs.columns))
