@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import absent, plain
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
@@ -212,16 +213,18 @@ def fitted(spark: SparkSession) -> tuple[boosting.Boosted, list[float]]:
     return _FITTED["model"]
 
 
-def added_spans(spark: SparkSession, text: Column, base: Column) -> Column:
-    """Candidates that the trees select and that touch no base span; overlapping ones all stay."""
+def added_spans(spark: SparkSession, text: Column, base: Column, proposed: Column) -> Column:
+    """Candidates that the trees select and that touch no base span; overlapping ones all stay.
+
+    The features of a candidate are computed once, as an array; the trees read its elements.
+    """
     trees, least = fitted(spark)
 
     def redact(c):
         wanted = F.lit(float("inf"))
         for g, m in enumerate(least):
             wanted = F.when(c["kind"] == g, F.lit(m)).otherwise(wanted)
-        apart = ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return apart & (trees.column(features(text, c)) >= wanted)
+        return trees.column(_Elements(c["x"])) >= wanted
 
     def named(c):
         kind = F.lit(0)
@@ -229,16 +232,28 @@ def added_spans(spark: SparkSession, text: Column, base: Column) -> Column:
             kind = F.when(c["kind"] == g, F.lit(KINDS.index(k))).otherwise(kind)
         return F.struct(c["start"].alias("start"), kind.alias("kind"), c["end"].alias("end"), c["match"].alias("match"))
 
-    some = F.col("_proposed")
-    return F.when(F.size(some) > 0, F.transform(F.filter(some, redact), named)).otherwise(F.array().cast(SPAN))
+    apart = F.filter(proposed, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    seen = F.transform(apart, lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end", "match")), F.array(*features(text, c)).alias("x")))
+    return F.when(F.size(proposed) > 0, F.transform(F.filter(seen, redact), named)).otherwise(F.array().cast(SPAN))
+
+
+class _Elements:
+    """An array column by place."""
+
+    def __init__(self, x: Column):
+        self.x = x
+
+    def __getitem__(self, k: int) -> Column:
+        return F.get(self.x, F.lit(k))
 
 
 def find(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
     """``docs`` with two columns of spans, (start, kind, end, match) sorted by start and kind: base ones, and all."""
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = docs.withColumn(base, base_spans(whole)).withColumn("_proposed", candidates(whole))
-    every = F.array_sort(F.concat(F.col(base), added_spans(docs.sparkSession, whole, F.col(base))))
-    return out.withColumn(spans, every).drop("_proposed")
+    whole = F.coalesce(plain(text), F.lit(""))
+    (proposed,) = absent([*docs.columns, base, spans], "proposed")
+    out = docs.withColumn(base, base_spans(whole)).withColumn(proposed, candidates(whole))
+    every = F.array_sort(F.concat(plain(base), added_spans(docs.sparkSession, whole, plain(base), plain(proposed))))
+    return out.withColumn(spans, every).drop(proposed)
 
 
 def listed(spans: Column) -> Column:
@@ -257,13 +272,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in angle brackets; all columns stay."""
-    own = F.col(f"`{text}`")
+    own = plain(text)
+    base, spans = absent(docs.columns, "base", "spans")
     names = F.array(*map(F.lit, KINDS))
 
     def step(acc, s):
         cut = F.concat(acc["out"], F.substr(own, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.element_at(names, s["kind"] + 1), F.lit(">"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(own, acc["at"] + 1)))
-    found = find(docs, text, "_base", "_spans")
-    return found.withColumn(text, F.when(F.size("_spans") > 0, done).otherwise(own)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    done = F.aggregate(plain(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(own, acc["at"] + 1)))
+    found = find(docs, text, base, spans)
+    return found.withColumn(text, F.when(F.size(plain(spans)) > 0, done).otherwise(own)).select(*map(plain, docs.columns))
