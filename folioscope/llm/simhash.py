@@ -2,11 +2,16 @@
 
 Two 64-bit fingerprints with at most d differing bits share at least m = 8 - d of their eight positional bytes. The
 index lists distinct fingerprints under combinations of positional bytes chosen so that any m shared positions hold
-one of them whole (for m of 4 or more twenty triples suffice, by Turán's construction), which keeps lists short where
-single bytes would list a 256th of the corpus each. Within a list, the shared positional bytes of each pair are
-tallied, pairs that reach m are kept, and the differing bits decide. Lists give back a spanning forest of their links
-rather than all pairs, lists beyond ``UNIT`` rows are dealt over several units, and components are found by star
-contraction, so that nothing grows with the square of a group of copies but comparisons within its units.
+one of them whole (for m of 4 or more twenty triples suffice, by Turán's construction). Within a list, the tally of a
+pair starts at the positions that the list fixes and goes on over the others; the count filter drops pairs that stay
+below m, and the differing bits of those that reach it are counted.
+
+Here this departs from an index of single bytes whose postings are merged: such a list would hold a 256th of the corpus
+and the tallies would be shuffled pair by pair, both growing with its square. A list of three bytes holds a 2^24th, and
+the row carries its other bytes with it, so the tally ends where it begins. Lists give back a spanning forest of their
+links rather than all pairs, lists beyond ``UNIT`` rows are dealt over several units, and components are found by star
+contraction. Near copies have no more different fingerprints than lie within a few bits of each other, which bounds the
+long lists that dealing repeats.
 
 Defined results: a text without words (or null) has the fingerprint zero and links like any other; fewer words than a
 shingle make one shingle; repeated rows and equal fingerprints fall together without comparison; rows whose doc_id is
@@ -22,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, numpy_components, small_side, sorted_groups, split_hot, written
+from .common import connected_components, map_batches, numpy_components, plain, small_side, sorted_groups, split_hot, written
 
 #: Fingerprints of a list that one unit compares; longer lists are dealt over several units.
 UNIT = 2048
@@ -110,6 +115,11 @@ def _linked(g: dict, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     edge = np.r_[True, (g["key"][1:] != g["key"][:-1]) | (g["lo"][1:] != g["lo"][:-1]) | (g["hi"][1:] != g["hi"][:-1])]
     unit = np.cumsum(edge)
     whole = g["lo"] == g["hi"]
+    # The positional bytes that a row's list fixes count for each of its pairs; the tally goes on over the others.
+    blocks = byte_blocks(least)
+    fixed = len(blocks[0])
+    other = np.array([[p not in b for p in range(8)] for b in blocks])[g["key"] >> (8 * fixed)]
+    posted = fp.view(np.uint8).reshape(-1, 8)
     forest = np.arange(n)
     found_a, found_b, held = [], [], 0
     at, d = np.arange(n), 0
@@ -119,14 +129,14 @@ def _linked(g: dict, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         at = at[unit[at] == unit[at + d]]
         if not len(at):
             break
-        differ = fp[at] ^ fp[at + d]
-        shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+        shared = fixed + ((posted[at] == posted[at + d]) & other[at]).sum(axis=1)
         ok = (shared >= least) & (whole[at] | (blk[at] != blk[at + d]))
+        differ = fp[at] ^ fp[at + d]
         ok[ok] = np.bitwise_count(differ[ok].view(np.uint64)) <= bits
         found_a.append(at[ok])
         found_b.append(at[ok] + d)
         held += len(found_a[-1])
-        if held > 1_000_000:
+        if held > 300_000:
             forest = _folded(n, forest, found_a, found_b)
             found_a, found_b, held = [], [], 0
     forest = _folded(n, forest, found_a, found_b)
@@ -156,4 +166,4 @@ def drop_near_duplicates(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """
     own = near_duplicates(docs, words, bits)
     dropped = written(own.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(small_side(dropped), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(small_side(dropped), "doc_id", "left_anti").select(*map(plain, docs.columns))
