@@ -3,12 +3,13 @@
 A flat file holds nothing but ids, document after document, each closed by the end id. ``scan`` deals the files into
 blocks of equal size that know nothing of documents. Each block is searched in one vector comparison; it tells how
 many separators it has, where the first and last lie, and the lengths between them. A prefix scan over the blocks'
-totals (one narrow row a block) then gives each block the number of documents and tokens before it and the token at
+totals (one narrow row a block, in three levels, so that no task sees all of them) then gives each block the number of documents and tokens before it and the token at
 which its first, perhaps unfinished, document began, so that documents across blocks are stitched without reading
 anything again.
 
-Defined results: an empty table makes no file; an empty or null text is one token long (the end id); ids after the
-last separator of a file, if any, are a last document without an end and are counted as such.
+Defined results: an empty table makes no file; an empty or null text is one token long (the end id), a very long one
+spans as many blocks as it needs; repeated rows each have a document of their own in the file; extra columns are
+ignored; ids after the last separator of a file, if any, are a last document without an end and are counted as such.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_batches, written
+from .common import fresh_path, map_batches, running_totals, written
 from .token_files import MANIFEST, file_system
 from .tokens import IdEncoder, held, text_blocks
 
@@ -95,9 +96,8 @@ def scan(manifest: DataFrame, end_id: int, block_tokens: int = 4 << 20) -> DataF
     # The prefix scan: tokens before each block over all files, documents before it in its file, and where the
     # document that is open at its start began: the end of the last block before that closed one.
     totals = found.select("part", "file", "block", "size", "seps", "closed")
-    over_all = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("base", F.coalesce(F.sum("size").over(over_all), F.lit(0)))
+    totals = running_totals(totals, "part", ["block"], "size", "base")
     ends = F.when(F.col("seps") > 0, F.col("base") + F.col("closed"))
     first = F.min("base").over(Window.partitionBy("file"))
     totals = totals.withColumns({"before": F.coalesce(F.sum("seps").over(in_file), F.lit(0)), "open": F.coalesce(F.max(ends).over(in_file), first)})

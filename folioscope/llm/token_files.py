@@ -7,12 +7,13 @@
 all little-endian; a crc32 is masked by turning it right by 15 bits and adding 0xa282ead8, so that checksums of data
 that hold checksums stay sound. The payload is doc_id (8 bytes; the lowest long for null), the bytes an id takes (4)
 and the ids. Beside each ``.rec`` file an ``.idx`` file holds the offset of every record and the file's end as 8-byte
-integers, so that a loader can read records in any order. Files are named by attempt; a manifest row stands for each
-file of a task that succeeded, so files of lost or repeated tasks are never read.
+integers, so that a loader can read records in any order. Files are named by attempt; the manifest has a row for each
+run of records (about ``RUN_BYTES``) of a task that succeeded, so files of lost or repeated tasks are never read, and
+runs of one file can be read by several tasks.
 
-Defined results: a null or empty text is a record with the end id alone; an empty table makes no file and an empty
-result; rows that share a doc_id lie next to each other in one file, in the order of their texts; null doc_ids come
-first. Extra columns are ignored.
+Defined results: a null or empty text is a record with the end id alone, a very long one a long record; an empty table
+makes no file and an empty result; rows that share a doc_id follow each other, in the order of a hash of their texts,
+and go on in the next file where they are many; null doc_ids come first, likewise. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_batches, written
+from .common import fresh_path, map_batches, running_totals, written
 from .tokens import IdEncoder, held, text_blocks
 
 NULL_ID = np.iinfo(np.int64).min
 #: Fixed values of the checksum mask (as in TFRecord files, over zlib's crc32).
 _MASK_ADD, _MASK_TURN = 0xA282EAD8, 15
 MANIFEST = "part int, file string, docs long, tokens long, bytes long"
+#: Bytes of records, about, that a row of the record manifest stands for and one reading task takes at a time.
+RUN_BYTES = 16 << 20
+RUNS = "part int, run int, file string, skip long, docs long, tokens long, bytes long"
 
 
 def masked_crc(data: bytes) -> int:
@@ -51,16 +55,20 @@ def file_system(uri: str):
 
 
 def in_doc_order(docs: DataFrame) -> DataFrame:
-    """doc_id and text in ascending doc_id over the partitions and within each; ties by text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    """doc_id and text in ascending doc_id over the partitions and within each; ties by a hash of the text, and by it.
+
+    The hash lets a doc_id (or null) of many rows spread over partitions.
+    """
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    return own.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
-    """Write ``docs`` (doc_id, text) and return the manifest, a written table with a row for each file."""
+    """Write ``docs`` (doc_id, text) and return the manifest, a written table with a row for each run of records."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "records")
 
-    def run(batches):
+    def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -68,11 +76,19 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
         tail = np.array([end_id], dtype=encode.dtype).tobytes()
         wide = encode.dtype.itemsize.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
-        out, offsets, at, tokens = None, [], 0, 0
+        out, index, at, run, skip = None, None, 0, 0, 0
+        begin, docs_in, tokens = 0, 0, 0
+
+        def told():
+            name = path.rpartition("/")[2]
+            return pa.RecordBatch.from_pydict(
+                {"part": pa.array([part], pa.int32()), "run": pa.array([run], pa.int32()), "file": [f"{folder}/{name}"], "skip": [skip], "docs": [docs_in], "tokens": [tokens], "bytes": [at - begin]}
+            )
+
         for batch in batches:
             ids = batch.column(0)
             for first, texts in text_blocks(batch):
-                frames = []
+                frames, offsets = [], []
                 for k, own in enumerate(encode(texts)):
                     doc = ids[first + k].as_py()
                     head = int(NULL_ID if doc is None else doc).to_bytes(8, "little", signed=True)
@@ -83,46 +99,51 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
                 if out is None:
                     fs, path = file_system(f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rec")
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(path)
+                    out, index = fs.open_output_stream(path), fs.open_output_stream(path.removesuffix(".rec") + ".idx")
                 out.write(b"".join(frames))
+                index.write(np.array(offsets, dtype="<i8").tobytes())
+                docs_in += len(offsets)
+                if at - begin >= RUN_BYTES:
+                    yield told()
+                    run, skip, begin, docs_in, tokens = run + 1, skip + docs_in, at, 0, 0
         if out is not None:
+            index.write(np.array([at], dtype="<i8").tobytes())
             out.close()
-            with fs.open_output_stream(path.removesuffix(".rec") + ".idx") as index:
-                index.write(np.array([*offsets, at], dtype="<i8").tobytes())
-            name = path.rpartition("/")[2]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "docs": [len(offsets)], "tokens": [tokens], "bytes": [at]})
+            index.close()
+            if docs_in:
+                yield told()
 
-    return written(map_batches(in_doc_order(docs), run, MANIFEST, encoders=True), "manifest")
+    return written(map_batches(in_doc_order(docs), write, RUNS, encoders=True), "manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
-    """The manifest with ``first``, the tokens in all files before: a prefix sum over one row a file."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    """The manifest with ``first``, the tokens in all runs before."""
+    return running_totals(manifest, "part", ["run"], "tokens", "first")
 
 
-def spread(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """One partition a file or so, so that reading runs on all cores."""
-    n = files.count()
-    return files.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism)), "file") if n > 1 else files
+def spread(spark: SparkSession, runs: DataFrame) -> DataFrame:
+    """The runs dealt over as many partitions as there are, up to a few thousand, so that reading uses all cores."""
+    n = runs.count()
+    return runs.repartition(min(n, 4096), "file", "run") if n > 1 else runs
 
 
 def read_records(manifest: DataFrame, digest_only: bool = False, piece: int = 8 << 20) -> DataFrame:
     """doc_id, start (tokens of all documents before), n_tokens, ids_crc32 and, unless ``digest_only``, ids.
 
-    Each file is read in runs of records of about ``piece`` bytes by its index; a checksum that fails raises.
+    Each run is found by the file's index and read in pieces of about ``piece`` bytes; a checksum that fails raises.
     """
-    files = written(with_starts(manifest), "starts")
+    runs = written(with_starts(manifest).select("file", "run", "skip", "docs", "first"), "starts")
     columns = "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digest_only else ", ids array<int>")
 
-    def run(batches):
+    def read(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row in batch.to_pylist():
                 fs, path = file_system(row["file"])
                 with fs.open_input_file(path.removesuffix(".rec") + ".idx") as f:
-                    offsets = np.frombuffer(f.read(), dtype="<i8")
+                    f.seek(8 * row["skip"])
+                    offsets = np.frombuffer(f.read(8 * (row["docs"] + 1)), dtype="<i8")
                 start = row["first"]
                 with fs.open_input_file(path) as f:
                     a = 0
@@ -144,7 +165,7 @@ def read_records(manifest: DataFrame, digest_only: bool = False, piece: int = 8
                         yield pa.RecordBatch.from_arrays(own, names=names)
                         a = b
 
-    return map_batches(spread(manifest.sparkSession, files), run, columns)
+    return map_batches(spread(manifest.sparkSession, runs), read, columns)
 
 
 def unframe(record: bytes) -> tuple[int | None, np.ndarray]:
