@@ -1,3 +1,3 @@
 """Queries over the driver's tables, by family; importing the package registers them."""
 
-from . import analytics, concepts, corpus, grounding, metadata, retrieval, streams, tagging, understanding  # noqa: F401
+from . import analytics, answers, concepts, corpus, grounding, metadata, retrieval, streams, tagging, understanding  # noqa: F401
