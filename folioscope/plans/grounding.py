@@ -120,9 +120,9 @@ def grounding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
             + 0.25::DOUBLE * coalesce(attributed, 0.5)::DOUBLE AS s, ({_RISK})::DOUBLE AS r FROM ca LEFT JOIN e USING (conv_id, turn) LEFT JOIN att USING (conv_id, turn))
     SELECT conv_id, turn, round(s * (1 - 0.5::DOUBLE * r), 6) AS score, s * (1 - 0.5::DOUBLE * r) >= 0.4 + CASE WHEN r > 0.7 THEN 0.2 ELSE 0 END AS grounded FROM v""")
 def grounding_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four parts of the reference with its weights, less by risk; an answer without sentences counts as half attributed.
+    """Four parts by weights, less by risk; an answer without sentences counts as half attributed.
 
-    The reference took the check of numbers out: its part is always 1 (grounding_validator.py:161).
+    Numbers are not checked: their part is always 1.
     """
     r = F.col("response")
     parts = {"evidence": scoring.evidence_coverage(r, F.col("sources")), "numbers": F.lit(1.0), "concepts": _alignment(), "attribution": F.coalesce("share", F.lit(0.5))}
