@@ -34,10 +34,12 @@ def without(rows: DataFrame, doomed: DataFrame, key: str, needed: str) -> DataFr
 def chunks(docs: DataFrame, size: int, overlap: int, keep: list[str] = []) -> DataFrame:
     """(doc_id, chunk, content): windows of ``size`` words that share ``overlap`` with the one before."""
     step = size - overlap
-    own = docs.select("doc_id", *keep, words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    own = docs.filter(F.col("text").rlike(r"\S")).select("doc_id", *keep, words(F.col("text")).alias("w"))
     last = F.when(F.size("w") <= size, 0).otherwise(F.ceil((F.size("w") - overlap) / step) - 1)
-    each = own.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    return each.select("doc_id", *keep, "chunk", F.array_join(F.slice("w", (F.col("chunk") * step + 1).cast("int"), size), " ").alias("content"))
+    # The windows are cut before they are parted, so that a long text's words are not copied into each of them.
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda k: F.array_join(F.slice("w", (k * step + 1).cast("int"), F.lit(size)), " "))
+    each = own.select("doc_id", *keep, F.posexplode(cut).alias("chunk", "content"))
+    return each.select("doc_id", *keep, F.col("chunk").cast("long").alias("chunk"), "content")
 
 
 def sampled_lines(docs: DataFrame, pattern: str, head: int = 15, tail: int = 10) -> DataFrame:

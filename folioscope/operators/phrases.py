@@ -19,12 +19,14 @@ def kept_tokens(c: Column) -> Column:
 def ngrams(docs: DataFrame, n: int, least: int = 3) -> DataFrame:
     """(phrase, freq, n_docs) of n kept tokens in a row that occur at least ``least`` times.
 
-    Repeats within a document are counted before the shuffle; partial sums meet by phrase.
+    Repeats within a document are counted where its words lie: sorted, equal phrases stand side by side. One shuffle
+    by phrase, with partial sums, is left.
     """
-    own = docs.select("doc_id", kept_tokens(F.col("text")).alias("t")).filter(F.size("t") >= n)
-    each = own.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda k: F.array_join(F.slice("t", k, n), " "))).alias("phrase"))
-    by_doc = each.groupBy("phrase", "doc_id").agg(F.count("*").alias("f"))
-    return by_doc.groupBy("phrase").agg(F.sum("f").alias("freq"), F.count("*").alias("n_docs")).filter(F.col("freq") >= least)
+    own = docs.filter("text is not null").select(kept_tokens(F.col("text")).alias("t"))  # a filter on the words would split the texts twice
+    p = own.select(F.array_sort(F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(0))), lambda x, k: F.concat_ws(" ", x, *[F.get("t", k + i) for i in range(1, n)]))).alias("p"))
+    last = F.filter(F.transform("p", lambda x, k: F.when(F.get("p", k + 1).eqNullSafe(x), -1).otherwise(k)), lambda k: k >= 0)
+    runs = p.select("p", last.alias("l")).select(F.inline(F.transform("l", lambda k, i: F.struct(F.get("p", k).alias("phrase"), (k - F.when(i == 0, -1).otherwise(F.get("l", i - 1))).alias("f")))))
+    return runs.groupBy("phrase").agg(F.sum("f").alias("freq"), F.count("*").alias("n_docs")).filter(F.col("freq") >= least)
 
 
 def concept_flags(docs: DataFrame, concepts: list[str]) -> DataFrame:
@@ -61,6 +63,6 @@ def exclusion(flags: DataFrame, concepts: list[str], critical: float = 3.84) ->
 def entropy(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, entropy): Shannon entropy in bits of the shares of a key's values, over its largest possible."""
     n = rows.groupBy(key, value).agg(F.count("*").alias("n"))
-    each = n.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list("n").alias("ns"))  # as many as there are values
-    bits = F.aggregate("ns", F.lit(0.0), lambda s, x: s - x / F.col("total") * F.log2(x / F.col("total")))
-    return each.select(key, F.size("ns").cast("long").alias("n_values"), F.round(F.when(F.size("ns") > 1, bits / F.log2(F.size("ns"))).otherwise(0.0), 6).alias("entropy"))
+    each = n.groupBy(key).agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    bits = F.log2("total") - F.col("s") / F.col("total")
+    return each.select(key, F.col("k").alias("n_values"), F.round(F.when(F.col("k") > 1, bits / F.log2("k")).otherwise(0.0), 6).alias("entropy"))

@@ -8,20 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, tokens
+from ..sources.shared import written
 
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
+#: Terms of all questions together that are sent to every task.
+QUESTION_TERMS = 200_000
 
 
 def bm25(docs: DataFrame, terms: list[str], every: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_terms, score) of documents with one of ``terms`` (with all of them, if ``every``).
 
-    One pass counts the terms in each document; one row of totals (documents, mean length, documents by term) is
-    broadcast to a second pass over those narrow rows. Texts are not shuffled.
+    One pass counts the terms in each document and writes narrow rows; one row of totals (documents, mean length,
+    documents by term) is broadcast to a second pass over those. Texts are read once and not shuffled.
     """
     own = docs.select(key, tokens(F.coalesce(text, F.lit(""))).alias("t"))
     tf = [F.size(F.col("t")) - F.size(F.array_remove("t", w)) for w in terms]
-    counted = own.select(key, F.size("t").alias("dl"), *[c.alias(f"tf{k}") for k, c in enumerate(tf)])
+    counted = written(own.select(key, F.size("t").alias("dl"), *[c.alias(f"tf{k}") for k, c in enumerate(tf)]), "counts")
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     both = counted.filter(reduce(lambda a, b: a & b if every else a | b, [F.col(f"tf{k}") > 0 for k in range(len(terms))])).crossJoin(F.broadcast(totals))
     parts = []
@@ -97,3 +100,52 @@ def neighbours(chunks: DataFrame, doc: str, index: str, text: str, reach: int =
     own = F.collect_list(text).over(w.rowsBetween(-reach, reach))
     marked = F.transform("_own", lambda x, k: F.when(k == F.col("_n"), F.concat(F.lit(mark), x)).otherwise(x))
     return chunks.withColumns({"_n": n, "_own": own}).withColumn("context", F.array_join(marked, "\n---\n")).drop("_n", "_own")
+
+
+def overlap_top(docs: DataFrame, questions: DataFrame, k: int, key: str = "doc_id", ask: str = "item_id") -> DataFrame:
+    """(ask, key, hits, n): for each question the ``k`` documents that share most terms with it; equal ones by key.
+
+    Both sides hold a column ``t`` of distinct terms. The questions are a stated set: their terms are counted first and,
+    up to ``QUESTION_TERMS``, sent to every task, which meets each document once, keeps its own best ``k`` of each
+    question and gives back no more. Larger sets meet the documents by term.
+    """
+    terms = questions.select(ask, F.size("t").alias("n"), F.explode("t").alias("term"))
+    rows = terms.limit(QUESTION_TERMS + 1).toArrow()
+    best = F.row_number().over(Window.partitionBy(ask).orderBy(F.desc("hits"), key))
+    if rows.num_rows > QUESTION_TERMS:
+        d = docs.select(key, F.explode("t").alias("term"))
+        found = d.join(terms, "term").groupBy(ask, key).agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+        return found.withColumn("_rn", best).filter(F.col("_rn") <= k).drop("_rn")
+    schema = f"{ask} {questions.schema[ask].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, hits long, n long"
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words = pc.unique(rows["term"].combine_chunks())
+        items, item = np.unique(rows[ask].to_numpy(), return_inverse=True)
+        size = np.zeros(len(items), dtype=np.int64)
+        size[item] = rows["n"].to_numpy()
+        word = pc.index_in(rows["term"].combine_chunks(), words).to_numpy()
+        order = np.argsort(word, kind="stable")
+        begin, asks = np.searchsorted(word[order], np.arange(len(words) + 1)), item[order]
+        kept: list = [np.zeros(0, dtype=np.int64) for _ in range(3)]  # question, document, hits
+        for batch in batches:
+            ids, t = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            place = pc.index_in(t.flatten(), words)
+            own = pc.list_parent_indices(t).to_numpy()[place.is_valid().to_numpy(zero_copy_only=False)]
+            at = place.drop_null().to_numpy()
+            times = begin[at + 1] - begin[at]
+            pos = np.repeat(begin[at] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+            pairs, hits = np.unique(np.repeat(own, times).astype(np.int64) * len(items) + asks[pos], return_counts=True)
+            new = [pairs % len(items), ids[pairs // len(items)], hits]
+            kept = [np.concatenate([a, b]) for a, b in zip(kept, new)]
+            order = np.lexsort([kept[1], -kept[2], kept[0]])
+            kept = [x[order] for x in kept]
+            nth = np.arange(len(kept[0])) - np.searchsorted(kept[0], kept[0])
+            kept = [x[nth < k] for x in kept]
+        yield pa.RecordBatch.from_pydict({ask: pa.array(items[kept[0]]), key: pa.array(kept[1]), "hits": pa.array(kept[2]), "n": pa.array(size[kept[0]])})
+
+    found = docs.select(key, "t").filter(F.col(key).isNotNull()).mapInArrow(run, schema)
+    return found.withColumn("_rn", best).filter(F.col("_rn") <= k).drop("_rn")

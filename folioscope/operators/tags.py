@@ -77,7 +77,11 @@ def complexity(c: Column) -> Column:
 
 
 def topics(c: Column) -> Column:
-    low = F.lower(c)
+    return topics_in(F.lower(c))
+
+
+def topics_in(low: Column) -> Column:
+    """The topics of a text in lower case."""
     return labels_where({name: any_of(low, parts) for name, parts in TOPICS.items()})
 
 

@@ -55,9 +55,9 @@ def feedback_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).filter("event_type = 'error'").select("event_id", "ts", "user_id").orderBy(F.desc("ts"), F.desc("event_id")).limit(10)
 
 
-@query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND user_id <= 50 ORDER BY ts DESC, event_id DESC LIMIT 100")
+@query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def audit_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _events(spark, sf_dir).filter("event_type in ('error', 'signup') and ts >= timestamp_ntz'2024-01-05' and ts < timestamp_ntz'2024-01-20' and user_id <= 50")
+    own = _events(spark, sf_dir).filter("event_type in ('error', 'signup') and ts >= timestamp_ntz'2024-01-05' and ts < timestamp_ntz'2024-01-20'")
     return own.select("event_id", "ts", "user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
 
 
@@ -122,10 +122,10 @@ def tier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_latency"), usage.share(F.count_if(F.col("event_type") == "view"), F.count("*"), 4).alias("hit_rate"))
 
 
-@query("SELECT user_id, round_even(value / 20, 0) * 20 AS bucket, count(*) AS n FROM events WHERE user_id <= 5 GROUP BY 1, 2")
+@query("SELECT user_id, round_even(value / 20, 0) * 20 AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
 def value_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values rounded to twenties, halves to even."""
-    return _events(spark, sf_dir).filter("user_id <= 5").groupBy("user_id", (F.bround(F.col("value") / 20) * 20).alias("bucket")).agg(F.count("*").alias("n"))
+    return _events(spark, sf_dir).groupBy("user_id", (F.bround(F.col("value") / 20) * 20).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import ingest, search
 from ..sources.tables import literal, load, values
+from . import registry
 from .registry import query
 
 _NORM = "trim(lower(text))"
@@ -61,15 +62,6 @@ def dedup_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.registry(load(spark, sf_dir, "documents"))
 
 
-@query("""
-    WITH r AS (SELECT sha256(text) AS hash, min(doc_id) AS first_doc FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
-    SELECT d.doc_id, coalesce(r.first_doc, d.doc_id) AS job, r.first_doc IS NOT NULL AS duplicate FROM documents d LEFT JOIN r ON r.hash = sha256(d.text) WHERE doc_id % 2 = 1""")
-def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New uploads (odd ids) against the registry of earlier ones (even ids)."""
-    d = load(spark, sf_dir, "documents")
-    return ingest.match_registry(d.filter("doc_id % 2 = 1"), ingest.registry(d.filter("doc_id % 2 = 0")))
-
-
 @query("""
     WITH r AS (SELECT sha256(text) AS hash, min(doc_id) AS first_doc FROM documents GROUP BY 1)
     SELECT d.doc_id, coalesce(r.first_doc, d.doc_id) AS job, coalesce(d.doc_id > r.first_doc, false) AS duplicate FROM documents d LEFT JOIN r ON r.hash = sha256(d.text)""")
@@ -80,6 +72,12 @@ def duplicate_uploads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.select("doc_id", "job", (F.col("doc_id") > F.col("job")).alias("duplicate"))
 
 
+@query(registry.ORACLE["duplicate_uploads_all"])
+def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``duplicate_uploads_all``, under the name it was first asked for by."""
+    return duplicate_uploads_all(spark, sf_dir)
+
+
 @query("SELECT source, any_value(prefix) AS prefix, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT source, left(text, 100) AS prefix, doc_id FROM documents) GROUP BY source, prefix")
 def prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First of the documents of a source that begin alike."""

@@ -211,5 +211,5 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers as they are streamed, five words at a time."""
     own = load(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
-    each = own.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.size("w") / 5) - 1).cast("long"))))
-    return each.select("conv_id", "turn", "chunk", F.array_join(F.slice("w", (F.col("chunk") * 5 + 1).cast("int"), 5), " ").alias("part"))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), (F.ceil(F.size("w") / 5) - 1).cast("long")), lambda k: F.array_join(F.slice("w", (k * 5 + 1).cast("int"), F.lit(5)), " "))
+    return own.select("conv_id", "turn", F.posexplode(cut).alias("chunk", "part")).withColumn("chunk", F.col("chunk").cast("long"))

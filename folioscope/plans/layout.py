@@ -48,12 +48,6 @@ def scatter_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
 
 
-@query("SELECT user_id, round_even(value / 20, 0) * 20 AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
-def value_buckets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of all users rounded to twenties, halves to even."""
-    return load(spark, sf_dir, "events").groupBy("user_id", (F.bround(F.col("value") / 20) * 20).alias("bucket")).agg(F.count("*").alias("n"))
-
-
 #: Elements of clusters: cluster, font size, x.
 ELEMENTS = [(1, 10, 5.0), (1, 12, 50.0), (2, 10, 0.0), (2, 11, 20.0), (2, 12, 150.0), (3, 9, 1.0), (4, 9, 1.0), (4, 9, 2.0), (4, 9, 3.0), (4, 9, 4.0), (4, 9, 5.0)]
 

@@ -359,12 +359,10 @@ def company_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT item_id, doc_id, hits, round(hits / n, 6) AS share, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rn FROM h JOIN n USING (item_id))
     SELECT item_id, doc_id, hits, share FROM r WHERE rn <= 5""")
 def term_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every question the five documents that share most terms with it: an equi-join on exploded terms."""
+    """For every question the five documents that share most terms with it."""
     from ..functions.text import terms
 
     q = load(spark, sf_dir, "benchmark").select("item_id", terms(F.col("text")).alias("t"))
-    q = q.select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
-    hits = d.join(q, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-    rn = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))
-    return hits.withColumn("rn", rn).filter("rn <= 5").select("item_id", "doc_id", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("share"))
+    d = load(spark, sf_dir, "documents").select("doc_id", terms(F.col("text")).alias("t"))
+    best = search.overlap_top(d, q, 5)
+    return best.select("item_id", "doc_id", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("share"))

@@ -122,7 +122,7 @@ def line_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page on which each chunk begins, at 2000 signs a page."""
     w = tx.words(F.col("text"))
-    own = load(spark, sf_dir, "documents").filter("text is not null").select("doc_id", w.alias("w")).filter(F.size("w") > 0)
+    own = load(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\S")).select("doc_id", w.alias("w"))
     last = F.when(F.size("w") <= 200, 0).otherwise(F.ceil((F.size("w") - 20) / 180) - 1)
     at = F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda k: F.struct(k.alias("chunk"), F.when(k == 0, 0).otherwise(F.length(F.array_join(F.slice("w", F.lit(1), (k * 180).cast("int")), " ")) + 1).cast("long").alias("start")))
     each = own.select("doc_id", F.inline(at))

@@ -99,7 +99,8 @@ def query_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     SELECT topic, count(*) AS n_docs FROM (SELECT unnest([x FOR x IN [{_TOPICS.replace('query', 'text')}] IF x IS NOT NULL]) AS topic FROM documents) GROUP BY topic""")
 def topic_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = load(spark, sf_dir, "documents").select(F.explode(tags.topics(F.col("text"))).alias("topic"))
+    low = load(spark, sf_dir, "documents").select(F.lower("text").alias("low"))  # once, not by topic
+    own = low.select(F.explode(tags.topics_in(F.col("low"))).alias("topic"))
     return own.groupBy("topic").agg(F.count("*").alias("n_docs"))
 
 

@@ -1,16 +1,29 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and narrow tables kept there between two passes."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a fresh local folder where it is unset, as in tests."""
+    """What ``spark.checkpoint.dir`` names. Where it is unset, a fresh temporary folder is made if driver and executors
+    are one process; a cluster must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet and read again: what is dear to compute and narrow is computed once, however often read."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
