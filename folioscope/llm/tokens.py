@@ -34,9 +34,9 @@ def _class(points: list[int]) -> str:
 
 _USUAL = _usual()
 _UNUSUAL = re.compile(f"[^{_class(_USUAL)}]")
-#: Distinct words held by one Python worker at a time, about 20 MB; beyond it the cache starts again (results do not
-#: change).
-CACHE_WORDS = 100_000
+#: Distinct words of each of the two generations that one Python worker holds, about 30 MB. When the young one is full
+#: it becomes the old one, whose words are forgotten unless they were met again meanwhile (results do not change).
+CACHE_WORDS = 150_000
 
 
 def load_tokenizer(path: str):
@@ -95,23 +95,24 @@ class WordSplitter:
 
 
 class WordCache:
-    """word -> what ``encode`` makes of it; unseen words are encoded together."""
+    """word -> what ``encode`` makes of it; unseen words are encoded together. Words that keep coming stay known."""
 
     def __init__(self, encode, most: int | None = None):
         self.encode, self.most = encode, most or CACHE_WORDS
-        self.known: dict = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
     def learn(self, texts_words: list[list[str]]):
         """Encode what is new; returns the lookup."""
         words = set().union(*texts_words)
-        unseen = words.difference(self.known)
-        if len(self.known) + len(unseen) > self.most:
-            self.known = {}
-            unseen = words
-        if unseen:
-            order = list(unseen)
-            self.known.update(zip(order, self.encode(order)))
-        return self.known.__getitem__
+        if len(self.young) + len(words.difference(self.young)) > self.most:
+            self.old, self.young = self.young, {}
+        missing = words.difference(self.young)
+        known = missing.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in known)
+        if unseen := list(missing.difference(known)):
+            self.young.update(zip(unseen, self.encode(unseen)))
+        return self.young.__getitem__
 
 
 def text_blocks(batch, column: str = "text", chars: int = 500_000):
