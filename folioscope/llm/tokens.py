@@ -34,9 +34,9 @@ def _class(points: list[int]) -> str:
 
 _USUAL = _usual()
 _UNUSUAL = re.compile(f"[^{_class(_USUAL)}]")
-#: Distinct words of each of the two generations that one Python worker holds, about 30 MB. When the young one is full
+#: Distinct words of each of the two generations that one Python worker holds, about 40 MB. When the young one is full
 #: it becomes the old one, whose words are forgotten unless they were met again meanwhile (results do not change).
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 
 
 def load_tokenizer(path: str):
@@ -105,12 +105,16 @@ class WordCache:
     def learn(self, texts_words: list[list[str]]):
         """Encode what is new; returns the lookup."""
         words = set().union(*texts_words)
-        if len(self.young) + len(words.difference(self.young)) > self.most:
-            self.old, self.young = self.young, {}
         missing = words.difference(self.young)
-        known = missing.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in known)
-        if unseen := list(missing.difference(known)):
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young, missing = self.young, {}, words
+        unseen = []
+        for w in missing:
+            if (made := self.old.get(w)) is None:
+                unseen.append(w)
+            else:
+                self.young[w] = made
+        if unseen:
             self.young.update(zip(unseen, self.encode(unseen)))
         return self.young.__getitem__
 
