@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sql import EDGE, END
@@ -120,22 +120,24 @@ def words_of(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def keywords(c: Column) -> Column:
-    """Distinct words of three letters and more that carry meaning, in order of appearance."""
-    return F.array_distinct(F.filter(words_of(c), lambda w: (F.length(w) > 2) & ~w.isin(*STOP)))
+def parsed(rows: DataFrame, query: str = "query") -> DataFrame:
+    """``rows`` with ``keywords`` (distinct words of three letters and more that carry meaning, as they come), ``phrases``
+    (quoted parts, and two- and three-word phrases whose outer words carry meaning; distinct, sorted) and ``named``.
 
-
-def phrases(c: Column) -> Column:
-    """Quoted parts, then two- and three-word phrases whose outer words carry meaning; distinct, sorted."""
-    w = words_of(c)
-    good = lambda x: (F.length(x) > 2) & ~x.isin(*STOP)
+    Words and what they carry are columns of their own first, so that each is worked out once.
+    """
+    w = rows.withColumn("_w", words_of(F.col(query)))
+    stop = F.array(*map(F.lit, STOP))
+    w = w.withColumn("_good", F.transform("_w", lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x)))
 
     def runs(n: int) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i + n - 1 <= F.size(w)) & good(F.get(w, i - 1)) & good(F.get(w, i + n - 2)))
-        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        made = F.transform("_w", lambda x, k: F.when(F.get("_good", k) & F.coalesce(F.get("_good", k + n - 1), F.lit(False)), F.array_join(F.slice("_w", k + 1, F.lit(n)), " ")))
+        return F.array_compact(made)
 
-    quotes = F.regexp_extract_all(c, F.lit('"([^"]*)"'), F.lit(1))
-    return F.array_sort(F.array_distinct(F.concat(quotes, runs(2), runs(3))))
+    quotes = F.regexp_extract_all(query, F.lit('"([^"]*)"'), F.lit(1))
+    words = F.array_compact(F.zip_with("_w", "_good", lambda x, g: F.when(g, x)))
+    out = w.withColumns({"keywords": F.array_distinct(words), "phrases": F.array_sort(F.array_distinct(F.concat(quotes, runs(2), runs(3)))), "named": named(F.col(query))})
+    return out.drop("_w", "_good")
 
 
 def named(c: Column) -> Column:
@@ -153,12 +155,12 @@ def intent(c: Column) -> Column:
     return out
 
 
-def focused(c: Column) -> Column:
+def focused(c: Column, phrases: Column, keywords: Column) -> Column:
     """The query to search for: the longest phrase in quotes (the first of equals), else three keywords, else all."""
-    own = F.filter(phrases(c), lambda p: F.contains(p, F.lit(" ")))
     size = lambda p: F.size(F.split(p, " ")) + F.when(p.rlike("^(?:a|an|the) "), 0).otherwise(2)
+    own = F.filter(phrases, lambda p: F.contains(p, F.lit(" ")))
     best = F.array_min(F.transform(own, lambda p: F.struct((-size(p)).alias("n"), p.alias("p"))))["p"]
-    few = F.slice(keywords(c), 1, 3)
+    few = F.slice(keywords, 1, 3)
     return F.when(best.isNotNull(), F.concat(F.lit('"'), best, F.lit('"'))).when(F.size(few) > 0, F.array_join(few, " ")).otherwise(c)
 
 
@@ -221,11 +223,9 @@ def contextual(question: Column, asked: Column, answer: Column) -> Column:
     return ~any_of(q, ANY_TALK) & (any_of(q, SPEAKS_OF) | shared | figures | (taken(a, 3) >= 2) | (taken(r, 4) >= 3) | own)
 
 
-def validation_score(question: Column, content: Column) -> Column:
+def validation_score(phrases: Column, named: Column, keywords: Column, content: Column) -> Column:
     """Three points a phrase, two a name, one a keyword of the question in the content, by its thousands of signs."""
     low = F.lower(content)
     hits = lambda xs: F.size(F.filter(xs, lambda x: F.contains(low, F.lower(x))))
-    points = 3 * hits(phrases(question)) + 2 * hits(named(question)) + hits(keywords(question))
+    points = 3 * hits(phrases) + 2 * hits(named) + hits(keywords)
     return points / F.greatest(F.lit(1.0), F.length(content) / 1000)
-
-

@@ -101,8 +101,9 @@ _INTENT = "CASE " + " ".join(f"WHEN {sql.any_of('lower(query)', ps)} THEN '{n}'"
            CASE WHEN len(ranked) > 0 THEN '"' || ranked[1].p || '"' WHEN len(keywords) > 0 THEN array_to_string(keywords[1:3], ' ') ELSE query END AS focused FROM f""")
 def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords, phrases, names and intent of a question, and the query that is searched for in its place."""
-    q = F.col("query")
-    return asked(spark, sf_dir).select("qid", F.array_join(ask.keywords(q), " ").alias("keywords"), F.array_join(ask.phrases(q), "|").alias("phrases"), F.array_join(ask.named(q), "|").alias("named"), ask.intent(q).alias("intent"), ask.focused(q).alias("focused"))
+    p, q = ask.parsed(asked(spark, sf_dir)), F.col("query")
+    focused = ask.focused(q, F.col("phrases"), F.col("keywords"))
+    return p.select("qid", F.array_join("keywords", " ").alias("keywords"), F.array_join("phrases", "|").alias("phrases"), F.array_join("named", "|").alias("named"), ask.intent(q).alias("intent"), focused.alias("focused"))
 
 
 @query(f"""
@@ -114,8 +115,9 @@ def content_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each answer holds the phrases, names and keywords of the first question of its conversation."""
     c = load(spark, sf_dir, "conversations")
     q = c.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
-    own = c.filter("role = 'assistant'").join(q, "conv_id")
-    return own.select("conv_id", "turn", F.round(ask.validation_score(F.col("query"), F.col("text")), 6).alias("score"))
+    own = c.filter("role = 'assistant'").join(ask.parsed(q), "conv_id")
+    score = ask.validation_score(F.col("phrases"), F.col("named"), F.col("keywords"), F.col("text"))
+    return own.select("conv_id", "turn", F.round(score, 6).alias("score"))
 
 
 def _score_sql(low: str, products: dict) -> dict[str, str]:
