@@ -86,4 +86,12 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
                doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        g AS (SELECT * FROM v WHERE e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+        l AS (SELECT a.n AS a, b.n AS b FROM g a JOIN g b ON a.n <> b.n AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+        r AS (SELECT n AS a, n AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        c AS (SELECT r.a, min(v.vec_id) AS component_id FROM r JOIN v ON v.n = r.b GROUP BY r.a),
+        k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c ON c.a = v.n LEFT JOIN k ON k.a = v.n""",
 }
