@@ -2,9 +2,72 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sql import END
+from ..functions.text import any_of
+
+#: Signs of kinds of charts, in order; a chart without any is a bar chart.
+CHART_SIGNS = {
+    "bar": ("revenue", "expense", "profit", "income", "quarterly", "annual", "fy", "fiscal year"),
+    "line": ("trend", "over time", "growth", "change", "progression"),
+    "pie": ("distribution", "breakdown", "composition", "share", "percentage of total"),
+    "area": ("cumulative", "stacked", "total over time"),
+    "scatter": ("correlation", "relationship", "vs", "compared to"),
+}
+#: Words of a chart's labels, words that make a chart a financial one, and units as they are written.
+LABELLING = ("revenue", "expense", "margin", "profit")
+FINANCIAL = ("revenue", "expense", "income", "profit")
+UNITS = {"T": "trillion", "B": "billion", "M": "million", "K": "thousand"}
+#: From which sum of money, and which end of a scale (financial or not), a unit is taken.
+MONEY_UNITS = ((1_000_000_000, "B"), (1_000_000, "M"), (1_000, "K"))
+FINANCIAL_UNITS = ((20, "B"), (5, "M"))
+SCALE_UNITS = ((1000, "B"), (100, "M"), (10, "K"))
+
+
+def unit_pattern(sign: str, word: str) -> str:
+    return rf"[0-9]+\.?[0-9]*[ \t\n\r\f]*{word}|[0-9]+\.?[0-9]*{sign.lower()}{END}"
+
+
+def chart_kind(text: Column) -> Column:
+    """The kind with most of its signs in the text, the first of equals."""
+    low = F.lower(text)
+    counts = {k: reduce(lambda a, b: a + b, [F.contains(low, F.lit(s)).cast("int") for s in signs]) for k, signs in CHART_SIGNS.items()}
+    best = F.greatest(*counts.values())
+    return F.when(best == 0, "bar").otherwise(F.coalesce(*[F.when(c == best, k) for k, c in counts.items()]))
+
+
+def chart_metadata(text: Column) -> dict[str, Column]:
+    """Fiscal years, the ends of the scale (lines that are numbers), the number of label lines and the unit.
+
+    The lower end is the least number over 0 if there is one. The unit is one that is written, else one that the largest
+    sum of money asks for, else one by the upper end of the scale. Numbers beyond 18 digits are no scale.
+    """
+    low = F.lower(text)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r\f]+|[ \t\r\f]+$", "")), lambda x: x != "")
+    spelled = F.transform(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"(?i)FY[ \t]*([0-9]{2,4})"), F.lit(1)))), lambda y: F.concat(F.lit("FY"), y))
+    years = F.array_sort(F.array_distinct(F.concat(spelled, F.regexp_extract_all(text, F.lit("(?i)FY[0-9]{2,4}"), F.lit(0)))))
+    scale = F.transform(F.filter(lines, lambda x: x.rlike("^[0-9]{1,18}$")), lambda x: x.cast("long"))
+    top = F.coalesce(F.array_max(scale), F.lit(0).cast("long"))
+    sums = F.transform(F.regexp_extract_all(text, F.lit(r"\$[0-9,]+\.?[0-9]*"), F.lit(0)), lambda x: F.regexp_replace(x, "[$,]", "").try_cast("double"))
+    money = F.array_max(sums)
+
+    def first(c: Column, table) -> list[Column]:
+        return [F.when(c >= least, unit) for least, unit in table]
+
+    by_scale = F.when(any_of(low, list(FINANCIAL)), F.coalesce(*first(top, FINANCIAL_UNITS)))
+    unit = F.coalesce(*[F.when(low.rlike(unit_pattern(k, w)), k) for k, w in UNITS.items()], *first(money, MONEY_UNITS), by_scale, *first(top, SCALE_UNITS), F.lit(""))
+    return {
+        "years": F.array_join(years, ","),
+        "scale_min": F.coalesce(F.array_min(F.filter(scale, lambda v: v > 0)), F.lit(0).cast("long")),
+        "scale_max": top,
+        "n_labels": F.size(F.filter(lines, lambda x: any_of(F.lower(x), list(LABELLING)))).cast("long"),
+        "unit": unit,
+    }
+
 
 def rows_by_gap(blocks: DataFrame, page: str, gap: float) -> DataFrame:
     """(page, row, text): blocks in the order they were found fall into rows; a block further than ``gap`` from the

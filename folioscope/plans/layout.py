@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..operators import layout
 from ..sources.tables import literal, load, values
 from .registry import query
@@ -67,3 +68,44 @@ SHAPES = [(1, 1, 0.0, 100.0), (1, 2, 5.0, 85.0), (1, 3, 0.0, 70.0), (1, 4, 200.0
 def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes that stand together; the SQL states the clusters worked out by hand."""
     return layout.proximity_clusters(literal(spark, SHAPES, "page int, id long, x double, y double"), "page", 60.0, 4)
+
+
+#: Texts read off charts: written units, sums of money, scales alone, years in several spellings, none of these.
+CHART_TEXTS = [
+    (-1, "Revenue by year\nFY 22\nFY23\nfy2024\n0\n20\n90\nProfit margin"), (-2, "Cumulative share\n 12 \n1500"), (-3, "$1,250,000.50 and $3 of expense\n4"), (-4, "Growth over time, 3.5 million\n7"),
+    (-5, "a trend vs the breakdown, 5t"), (-6, "income 6\n5\n6"), (-7, ""), (-8, "scale\n0\n99999999999999999999"), (-9, "5tons of it\n100"),
+]
+_TEXTS = f"(SELECT doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM {values(CHART_TEXTS, 'doc_id, text')})"
+
+
+def _chart_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null").unionByName(literal(spark, CHART_TEXTS, "doc_id long, text string"))
+
+
+_COUNTS = ", ".join(f"{sql.count_of('lower(text)', signs)} AS n_{k}" for k, signs in layout.CHART_SIGNS.items())
+_BEST = f"greatest({', '.join(f'n_{k}' for k in layout.CHART_SIGNS)})"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_BEST} = 0 THEN 'bar' {' '.join(f'WHEN n_{k} = {_BEST} THEN {sql.quoted(k)}' for k in layout.CHART_SIGNS)} END AS kind FROM (SELECT doc_id, {_COUNTS} FROM {_TEXTS})")
+def chart_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of chart a text speaks of."""
+    return _chart_texts(spark, sf_dir).select("doc_id", layout.chart_kind(F.col("text")).alias("kind"))
+
+
+def _steps(c: str, table) -> str:
+    return "CASE " + " ".join(f"WHEN {c} >= {least} THEN '{unit}'" for least, unit in table) + " END"
+
+
+@query(rf"""
+    WITH l AS (SELECT doc_id, text, lower(text) AS low, [trim(x, E' 	') FOR x IN string_split(text, E'
+') IF trim(x, E' 	') <> ''] AS lines FROM {_TEXTS}),
+    s AS (SELECT *, [CAST(x AS BIGINT) FOR x IN lines IF regexp_full_match(x, '[0-9]{{1,18}}')] AS scale,
+        list_sort(list_distinct(['FY' || y FOR y IN flatten([regexp_extract_all(x, '(?i)FY[ 	]*([0-9]{{2,4}})', 1) FOR x IN lines])] || regexp_extract_all(text, '(?i)FY[0-9]{{2,4}}'))) AS years,
+        list_max([TRY_CAST(regexp_replace(x, '[$,]', '', 'g') AS DOUBLE) FOR x IN regexp_extract_all(text, '\$[0-9,]+\.?[0-9]*')]) AS money FROM l),
+    t AS (SELECT *, coalesce(list_max(scale), 0) AS scale_max FROM s)
+    SELECT doc_id, array_to_string(years, ',') AS years, coalesce(list_min([x FOR x IN scale IF x > 0]), 0)::BIGINT AS scale_min, scale_max::BIGINT AS scale_max, len([x FOR x IN lines IF {sql.any_of('lower(x)', layout.LABELLING)}]) AS n_labels,
+        coalesce({', '.join(f"CASE WHEN regexp_matches(low, {sql.quoted(layout.unit_pattern(k, w))}) THEN '{k}' END" for k, w in layout.UNITS.items())},
+            {_steps('money', layout.MONEY_UNITS)}, CASE WHEN {sql.any_of('low', layout.FINANCIAL)} THEN {_steps('scale_max', layout.FINANCIAL_UNITS)} END, {_steps('scale_max', layout.SCALE_UNITS)}, '') AS unit FROM t""")
+def chart_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years, scale, labels and unit of the texts read off charts."""
+    return _chart_texts(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in layout.chart_metadata(F.col("text")).items()])

@@ -29,3 +29,37 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ended runs of failures, by state of one open run a user."""
     return streams.finished(streams.run_state(streams.read_events(spark, sf_dir, "events.parquet")), shared_folder(spark))
+
+
+@query("""
+    WITH e AS (SELECT event_type, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS start FROM events)
+    SELECT start, event_type, count(*) AS n FROM e GROUP BY ALL""")
+def stream_trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the last day, told every hour."""
+    own = streams.trailing_counts(streams.read_events(spark, sf_dir, "events.parquet"))
+    return streams.finished(own, shared_folder(spark), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT DISTINCT event_type, regexp_extract(props, '\"k\": *([0-9]+)', 1)::BIGINT AS k FROM events WHERE value >= 50")
+def stream_learned_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns learned in micro-batches from events of value: type and key."""
+    own = streams.read_events(spark, sf_dir, "events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return streams.finished(streams.learned(own, ["event_type", "k"], 50.0), shared_folder(spark))
+
+
+@query("""
+    WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    SELECT user_id, (i - 1) // 4 + 1 AS k, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM r WHERE n >= 15 AND (i - 1) // 4 <= (n - 15) // 4 GROUP BY ALL""")
+def stream_compressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four of fifteen messages compressed whenever a user holds so many."""
+    return streams.finished(streams.compressions(streams.read_events(spark, sf_dir, "events.parquet")), shared_folder(spark))
+
+
+@query("""
+    WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT *, ts AS put, false AS hit FROM o WHERE i = 1
+          UNION ALL SELECT o.*, CASE WHEN o.ts - r.put <= INTERVAL 24 HOUR THEN r.put ELSE o.ts END, o.ts - r.put <= INTERVAL 24 HOUR FROM r JOIN o ON o.user_id = r.user_id AND o.event_type = r.event_type AND o.i = r.i + 1)
+    SELECT event_id, hit FROM r""")
+def stream_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each request finds an answer put within a day, by state with a time to live."""
+    return streams.finished(streams.cached_requests(streams.read_events(spark, sf_dir, "events.parquet"), ["user_id", "event_type"]), shared_folder(spark))

@@ -65,3 +65,74 @@ def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
         done = writer.outputMode(mode).foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{at}/rows")).start()
     done.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def trailing_counts(events: DataFrame, width: str = "24 hours", slide: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """Events by type in windows of ``width`` that begin every ``slide``."""
+    own = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"))
+    return own.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def learned(events: DataFrame, keys: list[str], least: float, ttl: str | None = None) -> DataFrame:
+    """Patterns (``keys``) of events worth at least ``least``, each told once, or again once ``ttl`` has passed.
+
+    Without ``ttl`` the state holds every pattern there is. Run it with a trigger by processing time, some files a batch.
+    """
+    own = events.filter(F.col("value") >= least)
+    own = own.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys) if ttl else own.dropDuplicates(keys)
+    return own.select(*keys)
+
+
+def compressions(events: DataFrame, most: int = 15, share: float = 0.3) -> DataFrame:
+    """(user_id, k, first, last, n): when a user holds ``most`` messages, the oldest ``share`` of them are compressed.
+
+    Messages are taken in the order of event_id within a batch of files. State: the ids held, fewer than ``most`` a user.
+    """
+    import pandas as pd
+
+    n = int(most * share)
+
+    def run(key, batches, state):
+        held, k = state.get if state.exists else ([], 0)
+        held, out = list(held), []
+        for event in sorted(int(e) for batch in batches for e in batch["event_id"]):
+            held.append(event)
+            if len(held) >= most:
+                k += 1
+                out.append((key[0], k, held[0], held[n - 1], n))
+                held = held[n:]
+        state.update((held, k))
+        yield pd.DataFrame(out, columns=["user_id", "k", "first", "last", "n"])
+
+    own = events.select("user_id", "event_id").groupBy("user_id")
+    return own.applyInPandasWithState(run, "user_id long, k long, first long, last long, n long", "held array<long>, k long", "append", "NoTimeout")
+
+
+def cached_requests(events: DataFrame, keys: list[str], ttl_hours: float = 24, late: str = "1 day") -> DataFrame:
+    """(event_id, hit) of requests for ``keys``: a hit if an entry was put within the time to live, else one is put.
+
+    A hit doesn't renew its entry. Entries leave the state once the watermark has passed their end, so it holds the keys
+    of about a day, not all there ever were. Requests of a batch are taken in order of time.
+    """
+    import pandas as pd
+
+    ttl = int(ttl_hours * 3_600_000_000)
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"event_id": pd.Series(dtype="int64"), "hit": pd.Series(dtype="bool")})
+            return
+        put = state.get[0] if state.exists else None
+        rows = sorted((int(t), int(e)) for batch in batches for t, e in zip(batch["at"], batch["event_id"]))
+        out = []
+        for at, event in rows:
+            hit = put is not None and at - put <= ttl
+            put = put if hit else at
+            out.append((event, hit))
+        state.update((put,))
+        state.setTimeoutTimestamp(max((put + ttl) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["event_id", "hit"])
+
+    own = events.withWatermark("ts", late).select("ts", F.unix_micros("ts").alias("at"), "event_id", *keys).groupBy(*keys)
+    return own.applyInPandasWithState(run, "event_id long, hit boolean", "put long", "append", "EventTimeTimeout")
