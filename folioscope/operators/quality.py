@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import any_of, count_of, n_words, words
 
@@ -90,3 +92,45 @@ def context(domain: Column, source: Column, content: Column) -> Column:
         own = count_of(low, keys) / len(keys) * 0.5 + F.when(F.coalesce(any_of(name, hints), F.lit(False)), 0.3).otherwise(0.0)
         out = F.when(domain == d, F.least(own, F.lit(1.0))).otherwise(out)
     return out
+
+#: Technical terms of documents and answers, and the weights of what both share.
+SHARED_TERMS = ("reserve", "liability", "premium", "policy", "actuarial", "gaap", "ifrs", "asc", "fas", "ssap", "vnpr", "dac", "ual")
+SHARED = {"phrase": 0.3, "term": 0.2, "number": 0.15, "header": 0.1, "word": 0.1, "sequence": 0.2}
+
+
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of two texts in matching blocks, as ``difflib`` finds them; its time grows with the product of the lengths."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
+
+
+def document_usage(document: Column, response: Column, question: Column, head: int = 1000) -> Column:
+    """How much of a document shows in a response: phrases, terms, numbers, headers, words of the question, likeness.
+
+    Phrases are runs of three words or more between other signs, over 15 signs long; each time one occurs in the document
+    counts. Likeness, over 0.1, is that of the first ``head`` signs; all else is taken over whole texts. Nulls are empty.
+    """
+    document, response, question = (F.coalesce(c, F.lit("")) for c in (document, response, question))
+    d, r = F.lower(document), F.lower(response)
+
+    def found(c: Column, pattern: str) -> Column:
+        return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+
+    def shared(a: Column, b: Column, pattern: str) -> Column:
+        return F.size(F.array_intersect(found(a, pattern), found(b, pattern)))
+
+    runs = F.transform(F.split(d, r"(?U)[^\p{L}\p{N}_\s]+"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    phrases = F.size(F.filter(runs, lambda p: (F.length(p) > 15) & (F.size(F.split(p, r"(?U)\s+")) >= 3) & F.contains(r, p)))
+    asked = F.filter(F.array_distinct(words(F.lower(question))), lambda w: F.length(w) > 3)
+    relevant = F.least(F.size(F.filter(asked, lambda w: F.contains(d, w))), F.size(F.filter(asked, lambda w: F.contains(r, w))))
+    alike = sequence_ratio(F.substring(d, 1, head), F.substring(r, 1, head))
+    return (
+        phrases * SHARED["phrase"]
+        + shared(d, r, r"(?U)\b(?:" + "|".join(SHARED_TERMS) + r")\b") * SHARED["term"]
+        + shared(d, r, r"(?U)\b\d+(?:\.\d+)?%?\b") * SHARED["number"]
+        + shared(document, response, r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}:") * SHARED["header"]
+        + relevant * SHARED["word"]
+        + F.when(alike > 0.1, alike).otherwise(0.0) * SHARED["sequence"]
+    )

@@ -259,3 +259,19 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     why = {"strong exact match": c("exact_match") > 0.2, "high semantic similarity": c("score") > 0.7, "good context": c("context") > 0.3, "covers the entities": c("coverage") > 0.5}
     reasons = F.array_join(F.array_compact(F.array(*[F.when(b, F.lit(n)) for n, b in why.items()])), "; ")
     return x.select("qid", "doc_id", "search_type", F.round("score", 6).alias("semantic"), F.round("exact_match", 6).alias("exact_match"), F.round("context", 6).alias("context"), F.round("coverage", 6).alias("coverage"), "final", F.concat(reasons, F.lit(" ("), "query_type", F.lit(")")).alias("explanation"))
+
+
+@query()
+def document_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the documents found for an item it uses, from 0.1; the best one found where none reaches that.
+
+    Items stand for responses, their first lines for the questions. Likeness of sequences has no SQL.
+    """
+    found = registry.QUERIES["term_overlap_topk"](spark, sf_dir)
+    b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("response"))
+    d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document"))
+    pairs = found.join(b, "item_id").join(d, "doc_id")  # five documents an item
+    own = pairs.select("item_id", "doc_id", "hits", F.round(quality.document_usage(F.col("document"), F.col("response"), F.substring_index("response", "\n", 1)), 6).alias("usage"))
+    best = own.groupBy("item_id").agg(F.max("usage").alias("most"), F.min_by("doc_id", F.struct(-F.col("hits"), "doc_id")).alias("first"))
+    kept = (F.col("usage") > 0.1) | ((F.col("most") <= 0.1) & (F.col("doc_id") == F.col("first")))
+    return own.join(best, "item_id").filter(kept).select("item_id", "doc_id", "usage", (F.col("usage") > 0.1).alias("used"))
