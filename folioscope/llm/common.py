@@ -155,6 +155,28 @@ def sorted_groups(batches, columns: list[str], keys: list[str]):
         yield held
 
 
+def sorted_groups_of_rows(batches, key: str):
+    """Turn Arrow batches sorted by ``key`` into dicts of Arrow columns, one for each key. Memory: a batch and a group."""
+    import pyarrow as pa
+
+    held: list = []
+
+    def whole():
+        t = pa.Table.from_batches(held).combine_chunks()
+        return {c: t[c].combine_chunks() if t[c].num_chunks != 1 else t[c].chunk(0) for c in t.column_names}
+
+    for batch in batches:
+        keys = _column(batch, key)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+        for a, b in zip(edges, edges[1:]):
+            if held and _column(held[-1], key)[-1] != keys[a]:
+                yield whole()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
 def _column(batch, name: str) -> np.ndarray:
     col = batch.column(batch.schema.get_field_index(name))
     kind = str(col.type)

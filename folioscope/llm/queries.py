@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, packing, pii, separator_scan, simhash, token_files, toxicity
+from . import bpe, embedding_dedup, exact_dedup, language_id, packing, pii, resampling, secret_scan, separator_scan, simhash, term_index, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -79,13 +79,37 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_separator_scan, op3_bpe_codec, op4_exact_dedup, op5_best_fit_packing, op6_token_records, op7_language_id, op8_pii, op9_simhash, op10_embedding_near_dedup)}
+def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = term_index.index(documents(spark, sf_dir))
+    return term_index.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), postings, k=10)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(documents(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+    return resampling.resample(documents(spark, sf_dir), target, percent=5, least_words=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_separator_scan, op3_bpe_codec, op4_exact_dedup, op5_best_fit_packing, op6_token_records, op7_language_id, op8_pii, op9_simhash, op10_embedding_near_dedup, op11_block_max_wand, op12_secret_scan, op13_importance_resampling)}
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
                doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
+    "op11_block_max_wand": """
+        WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT count(*) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM t WHERE len(w) > 0),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+        g AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+        i AS (SELECT p.r, p.term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * big_n) // big_l))) AS gain FROM p JOIN g USING (term) JOIN t USING (r), s),
+        c AS (SELECT item_id, r, CAST(sum(gain) AS BIGINT) AS score FROM q JOIN i USING (term) WHERE item_id IS NOT NULL GROUP BY item_id, r),
+        o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c JOIN t USING (r) WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
     "op10_embedding_near_dedup": """
         WITH RECURSIVE v AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         g AS (SELECT * FROM v WHERE e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
