@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +46,7 @@ BASE = {
 _VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 #: Signs of a candidate at least, the pattern of its run, and what stands for false discoveries at most among those taken.
 LEAST, FALSE = 20, 0.05
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: The alphabets of encodings, smallest first.
 ALPHABETS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _UP + "234567", _DIGITS + _LOW, _DIGITS + _UP, _UP + _LOW + _DIGITS, _UP + _LOW + _DIGITS + "+/", _UP + _LOW + _DIGITS + "-_", _UP + _LOW + _DIGITS + "+/-_")
@@ -54,27 +55,31 @@ CLASSES, BINS, DECOYS = (20, 24, 32, 48), 300, 2000
 SCORED = "array<struct<start:int,end:int,cls:int,bin:int>>"
 
 
-def base_spans(text: Column) -> Column:
+def has_long_run(text: Column) -> Column:
+    """Whether a text holds a run that a candidate or a hexadecimal key needs: most don't, and are looked through once."""
+    return text.rlike(CANDIDATE.removesuffix("+={0,2}"))
+
+
+def base_spans(text: Column, long_run: Column) -> Column:
     """All base spans, sorted by start and kind."""
     long_value = lambda m: F.length(F.regexp_extract(m, _VALUE, 1)) >= 8
-    guards = {k: text.rlike(p) for k, p in BASE.items()}
+    words = sp.let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ("passw", "secret", "token", "apikey", "api_key")]))
+    guards = {"assign": words, "access": F.contains(text, F.lit("AKIA")), "hex": long_run}
     none = F.array().cast(sp.SPAN)
     each = [F.when(guards[k], sp.matches(text, p, n, long_value if k == "assign" else None)).otherwise(none) for n, (k, p) in enumerate(BASE.items())]
     return F.array_sort(F.concat(*each))
 
 
-def candidates(text: Column) -> Column:
+def candidates(text: Column, long_run: Column) -> Column:
     """Runs of key-like signs that hold a letter."""
     found = sp.matches(text, CANDIDATE, KINDS.index("random"), lambda m: m.rlike("[A-Za-z]"))
-    return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(sp.SPAN))
+    return F.when(long_run, found).otherwise(F.array().cast(sp.SPAN))
 
 
 def _two_sided(z: Column) -> Column:
     """Share of a normal distribution at least as far from its mean (Abramowitz and Stegun 26.2.17)."""
-    z = F.abs(z)
-    t = 1 / (1 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return 2 * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+    poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return sp.let(F.abs(z), lambda z: 2 * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * sp.let(1 / (1 + 0.2316419 * z), poly))
 
 
 def _battery(x: Column, size: Column) -> Column:
@@ -88,13 +93,12 @@ def _battery(x: Column, size: Column) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     high = total(F.transform(x, lambda v: (v * 2 >= size).cast("double")))
     turns = total(F.transform(x, lambda v, k: F.when(k == 0, 1.0).otherwise(((v * 2 >= size) != (F.get(x, k - 1) * 2 >= size)).cast("double"))))
-    even = 2 * high * (n - high) / n
-    spread = even * (even - 1) / (n - 1)
-    runs = (turns - even - 1) / F.sqrt(spread)
+    by_runs = lambda even: sp.let(even * (even - 1) / (n - 1), lambda spread: F.when(spread > 0, _two_sided((turns - even - 1) / F.sqrt(spread))).otherwise(0.0))
+    runs = sp.let(sp.let(high, lambda h: 2 * h * (n - h) / n), by_runs)
     # Serial correlation of neighbours.
     mean = total(F.transform(x, lambda v: v.cast("double"))) / n
     serial = sp.let(mean, lambda m: total(F.transform(x, lambda v, k: F.when(k == 0, 0.0).otherwise((v - m) * (F.get(x, k - 1) - m)))) / F.nullif(total(F.transform(x, lambda v: (v - m) * (v - m))), F.lit(0.0)))
-    least = F.least(_two_sided(chi), F.when(spread > 0, _two_sided(runs)).otherwise(0.0), F.coalesce(_two_sided((serial + 1 / n) * F.sqrt(n)), F.lit(0.0)))
+    least = F.least(_two_sided(chi), runs, F.coalesce(_two_sided((serial + 1 / n) * F.sqrt(n)), F.lit(0.0)))
     return F.least(3 * least, F.lit(1.0))
 
 
@@ -109,7 +113,9 @@ def scored(candidates: Column) -> Column:
     """start, end, class of length and bin of -log10 p (0: as if random) of each candidate."""
 
     def one(c):
-        signs = F.regexp_replace(c["match"], "=+$", "")
+        return sp.let(F.regexp_replace(c["match"], "=+$", ""), lambda signs: placed(c, signs))
+
+    def placed(c, signs):
         inside = [(F.translate(signs, a, "") == "") for a in ALPHABETS]
         alphabet = F.lit(ALPHABETS[-1])
         for a, has in reversed(list(zip(ALPHABETS[:-1], inside))):
@@ -159,7 +165,7 @@ def ordinary_shares(spark: SparkSession) -> np.ndarray:
     """
     if "shares" not in _NULL:
         table = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{d}')" for d in decoys()) + " AS s(text)")
-        got = np.array([(s["cls"], s["bin"]) for r in table.select(scored(candidates(F.col("text"))).alias("s")).collect() for s in r["s"]])  # one a decoy
+        got = np.array([(s["cls"], s["bin"]) for r in table.select(scored(candidates(F.col("text"), F.lit(True))).alias("s")).collect() for s in r["s"]])  # one a decoy
         shares = np.ones((len(CLASSES), BINS))
         for k in range(len(CLASSES)):
             own = np.sort(got[got[:, 0] == k, 1])
@@ -196,11 +202,12 @@ def _selected(found: Column, last: list[int]) -> Column:
 
 def _measured(docs: DataFrame, text: str, base: str, found: str) -> DataFrame:
     whole = F.coalesce(plain(text), F.lit(""))
-    (proposed,) = absent([*docs.columns, base, found], "proposed")
-    out = docs.withColumn(base, base_spans(whole)).withColumn(proposed, candidates(whole))
+    proposed, long_run = absent([*docs.columns, base, found], "proposed", "long_run")
+    out = docs.withColumn(long_run, has_long_run(whole))
+    out = out.withColumn(base, base_spans(whole, plain(long_run))).withColumn(proposed, candidates(whole, plain(long_run)))
     free = F.when(F.size(plain(proposed)) > 0, scored(sp.apart(plain(proposed), plain(base)))).otherwise(F.array().cast(SCORED))
     short = F.transform(plain(base), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return out.withColumn(found, free).withColumn(base, short).drop(proposed)
+    return out.withColumn(found, free).withColumn(base, short).drop(proposed, long_run)
 
 
 def _all_spans(base: str, found: str, last: list[int]) -> Column:

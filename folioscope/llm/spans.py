@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements that one fold goes over, and code points of a chunk (a power of two).
+#: Elements that one fold goes over, and code points of a chunk (powers of two).
 BLOCK, CHUNK = 64, 1024
-_CHUNK_BITS = CHUNK.bit_length() - 1
+_BLOCK_BITS, _CHUNK_BITS = BLOCK.bit_length() - 1, CHUNK.bit_length() - 1
 SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
 
 
@@ -37,11 +37,11 @@ def running(values: Column, op, zero: Column) -> Column:
     def level(a: Column, depth: int) -> Column:
         if not depth:
             return before(a, zero)
-        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / BLOCK).cast("int") - 1), lambda i: F.slice(a, i * BLOCK + 1, F.lit(BLOCK)))
+        blocks = F.transform(F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(a), F.lit(1)) - 1, _BLOCK_BITS)), lambda i: F.slice(a, i * BLOCK + 1, F.lit(BLOCK)))
         totals = lambda bs: F.transform(bs, lambda b: F.aggregate(b, zero, op))
         return let(blocks, lambda bs: let(level(totals(bs), depth - 1), lambda sums: F.flatten(F.zip_with(bs, sums, before))))
 
-    return let(values, lambda a: F.when(F.size(a) <= BLOCK, level(a, 0)).when(F.size(a) <= BLOCK**2, level(a, 1)).otherwise(level(a, 2)))
+    return let(values, lambda a: level(a, 2))
 
 
 def matches(text: Column, pattern: str, kind: int, check=None) -> Column:
