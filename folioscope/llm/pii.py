@@ -2,35 +2,37 @@
 
 Four base kinds are sure: their pattern and check decide. Beyond them, generators of high recall propose spans that may
 overlap (phone numbers without a plus, social security numbers, written-out mail addresses, bank accounts, card-like
-digits that fail the Luhn check, long-form addresses). Format and context features of each candidate go through boosted
+digits that fail the Luhn check, long-form addresses, keys and passwords after their names). Format and context features of each candidate go through boosted
 trees, written as column expressions; calibrated thresholds by kind select redactions. Candidates that touch a base
 span are dropped, so base spans stay as they are. The trees are fitted on a bounded set of labelled snippets made from
 templates below (``SNIPPETS`` rows), once in a driver process; no row of the data is used for that.
 
 Each row is handled where it lies: no shuffle, no Python on executors. Offsets count code points. No pattern can
 backtrack over long runs (possessive quantifiers and look-behinds stand where the plain pattern would try each start of
-a run, without changing what matches first).
+a run, without changing what matches first). Places, contexts, overlaps and redaction take time linear in a text and its
+hits, however long it is (see ``spans``).
 
-Defined results: null and empty texts have no spans and the hash of the empty string; equal rows each give a row; other
-columns pass through ``find`` unless they have the names of its results.
+Defined results: null and empty texts have no spans and the hash of the empty string; equal rows each give a row; an
+empty table gives no rows; other columns pass through ``find`` unless they have the names of its results.
 """
 
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
+from . import spans as sp
 from .common import absent, plain
 
 #: Kinds in the order in which spans of one start are listed.
-KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 #: Labelled snippets from which the trees are fitted, and the least calibrated share of right ones to redact.
 SNIPPETS, PRECISION = 1200, 0.9
-SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The base patterns, with what is needed to scan long runs once.
@@ -49,6 +51,7 @@ GENERATORS = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("card", BASE["card"]),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    ("secret", r"""(?i:password|passwd|passphrase|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@#$%^&*-]{8,}"""),
 )
 #: Words before a candidate that speak for or against personal data.
 FOR = r"(?i)(phone|tel|call|fax|mobile|cell|contact|reach|ssn|social|security|card|visa|mail|iban|account|bank|address)[^\n]{0,20}$"
@@ -79,35 +82,20 @@ CHECKS = {
 }
 
 
-def _spans(text: Column, pattern: str, kind: int, check, guard: Column) -> Column:
-    """The matches of a pattern that pass ``check``, with their places: leftmost, non-overlapping.
-
-    The text is split at the matches; the lengths of pieces and matches, added up in order, are the places.
-    """
-    sizes = F.transform(F.split(text, pattern, -1), F.length)
-    zipped = F.arrays_zip(sizes.alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    none = F.array().cast(SPAN)
-
-    def step(acc, x):
-        start = acc["at"] + x["n"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        own = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("match"))
-        good = x["m"].isNotNull() & check(x["m"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(F.transform(zipped, lambda z: F.struct(z["n"].alias("n"), z["m"].alias("m"))), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(guard, found).otherwise(none)
+def _if(guard: Column, spans: Column) -> Column:
+    return F.when(guard, spans).otherwise(F.array().cast(sp.SPAN))
 
 
 def base_spans(text: Column) -> Column:
     """All base spans, sorted by start and kind."""
     guards = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(BASE["ip"]), "card": text.rlike(BASE["card"]), "phone": text.rlike(r"\+[0-9]")}
-    return F.array_sort(F.concat(*[_spans(text, BASE[k], n, CHECKS[k], guards[k]) for n, k in enumerate(KINDS[:4])]))
+    return F.array_sort(F.concat(*[_if(guards[k], sp.matches(text, BASE[k], n, CHECKS[k])) for n, k in enumerate(KINDS[:4])]))
 
 
 def candidates(text: Column) -> Column:
     """Spans that the generators propose; ``kind`` numbers the generator here."""
-    return F.concat(*[_spans(text, p, n, lambda m: F.lit(True), text.rlike(p)) for n, (_, p) in enumerate(GENERATORS)])
+    named = sp.let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ("passw", "passphrase", "secret", "token", "apikey", "api_key")]))
+    return F.concat(*[_if(named if k == "secret" else text.rlike(p), sp.matches(text, p, n)) for n, (k, p) in enumerate(GENERATORS)])
 
 
 def _mod97(m: Column) -> Column:
@@ -117,11 +105,15 @@ def _mod97(m: Column) -> Column:
     return F.aggregate(value, F.lit(0), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97)
 
 
-def features(text: Column, c: Column) -> list[Column]:
-    """Format and context features of a candidate."""
-    m, digits = c["match"], _digits(c["match"])
-    before = F.substr(text, F.greatest(c["start"] - 39, F.lit(1)), F.least(c["start"], F.lit(40)))
-    after = F.substr(text, c["end"] + 1, F.lit(1))
+def features(parts: Column, c: Column) -> Column:
+    """Format and context features of a candidate in a text given as ``spans.chunks``."""
+    before, after = sp.cut(parts, F.greatest(c["start"] - 40, F.lit(0)), c["start"]), sp.cut(parts, c["end"], c["end"] + 1)
+    context = F.struct(_digits(c["match"]).alias("digits"), before.alias("before"), after.alias("after"))
+    return sp.let(context, lambda x: F.array(*_features(c, x["digits"], x["before"], x["after"])))
+
+
+def _features(c: Column, digits: Column, before: Column, after: Column) -> list[Column]:
+    m = c["match"]
     kind = F.substr(before, F.greatest(F.length(before), F.lit(1)), F.lit(1))
     number = lambda x: x.cast("double")
     return [
@@ -140,6 +132,8 @@ def features(text: Column, c: Column) -> list[Column]:
         number(_mod97(m) == 1),
         number(m.rlike(r"(?i)[(\[{]at[)\]}]")),
         number(m.rlike(r"(?i)[^a-z](com|org|net|edu|gov|io|de|fr|es|uk)$")),
+        number(m.rlike("[0-9]")),
+        number(m.rlike("(?:[0-9][A-Za-z]|[A-Za-z][0-9])[^:=]*$")),
     ]
 
 
@@ -157,6 +151,9 @@ def snippets(n: int = SNIPPETS) -> list[tuple[str, int]]:
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("aeiounrstlmd") for _ in range(rng.randint(3, 8)))
     good = ("phone ", "call me at ", "tel: ", "my mobile is ", "fax ", "contact: ")
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    mixed = lambda k: d(1) + "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k - 1))
+    key = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k - 2)) + "0b"
     bad = ("order ", "invoice no ", "part ", "ref ", "serial ", "ticket ")
     out = []
     while len(out) < n:
@@ -182,6 +179,10 @@ def snippets(n: int = SNIPPETS) -> list[tuple[str, int]]:
             (f"{rng.choice(bad)}{d(rng.randint(14, 19))}", 0),
             (f"{word()} " + ":".join(f"{rng.randrange(65536):x}" for _ in range(8)), 1),
             (f"{word()} " + ":".join(d(2) for _ in range(8)), 0),
+            (f"{rng.choice(names)}{rng.choice((': ', '=', ' = '))}{mixed(rng.randint(8, 40))}", 1),
+            (f'{rng.choice(names)} = "{key(rng.randint(16, 40))}"', 1),
+            (f"{rng.choice(names)}{rng.choice((': ', '=', ' = '))}{word()}{word()}{word()}", 0),
+            (f"{rng.choice(names)}: {word()}-{word()}_{word()}", 0),
         ]
         out += [(f"{text} {word()}.", y) for text, y in rows]
     return out[:n]
@@ -196,7 +197,7 @@ def fitted(spark: SparkSession) -> tuple[boosting.Boosted, list[float]]:
         rows = ", ".join(f"({n}, '{t}', {y})" for n, (t, y) in enumerate(snippets()))
         table = spark.sql(f"SELECT * FROM VALUES {rows} AS s(n, text, y)")
         each = table.select("n", "y", "text", F.explode(candidates(F.col("text"))).alias("c"))
-        got = each.select("n", "y", F.array(*features(F.col("text"), F.col("c"))).alias("x")).collect()  # a few a snippet
+        got = each.select("n", "y", features(sp.chunks(F.col("text")), F.col("c")).alias("x")).collect()  # a few a snippet
         x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], dtype=float)
         fold = np.array([r["n"] % 5 for r in got])
         settings = {"trees": 24, "depth": 3, "rate": 0.3}
@@ -232,9 +233,10 @@ def added_spans(spark: SparkSession, text: Column, base: Column, proposed: Colum
             kind = F.when(c["kind"] == g, F.lit(KINDS.index(k))).otherwise(kind)
         return F.struct(c["start"].alias("start"), kind.alias("kind"), c["end"].alias("end"), c["match"].alias("match"))
 
-    apart = F.filter(proposed, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    seen = F.transform(apart, lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end", "match")), F.array(*features(text, c)).alias("x")))
-    return F.when(F.size(proposed) > 0, F.transform(F.filter(seen, redact), named)).otherwise(F.array().cast(SPAN))
+    def seen(parts):
+        return F.transform(sp.apart(proposed, base), lambda c: F.struct(*(c[k].alias(k) for k in ("start", "kind", "end", "match")), features(parts, c).alias("x")))
+
+    return _if(F.size(proposed) > 0, sp.let(sp.chunks(text), lambda parts: F.transform(F.filter(seen(parts), redact), named)))
 
 
 class _Elements:
@@ -256,30 +258,16 @@ def find(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "
     return out.withColumn(spans, every).drop(proposed)
 
 
-def listed(spans: Column) -> Column:
-    """kind:start:end of each span, joined by commas."""
-    names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, base spans by kind, their digest, and all spans."""
     found = find(docs.select("doc_id", "text"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(sp.listed(F.col("base"), KINDS), 256).alias("base_sha256"), sp.listed(F.col("spans"), KINDS).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in angle brackets; all columns stay."""
-    own = plain(text)
     base, spans = absent(docs.columns, "base", "spans")
-    names = F.array(*map(F.lit, KINDS))
-
-    def step(acc, s):
-        cut = F.concat(acc["out"], F.substr(own, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.element_at(names, s["kind"] + 1), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(plain(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(own, acc["at"] + 1)))
     found = find(docs, text, base, spans)
-    return found.withColumn(text, F.when(F.size(plain(spans)) > 0, done).otherwise(own)).select(*map(plain, docs.columns))
+    return found.withColumn(text, sp.replaced(plain(text), plain(spans), F.array(*map(F.lit, KINDS)))).select(*map(plain, docs.columns))

@@ -18,8 +18,8 @@ thresholds in all others. Every task gives back its shard's best k, and the best
 
 Defined results: a null or empty text, or one without a term, is no document of the statistics and is never found; every
 row is a document of its own, so equal rows share a score and take ranks one after the other; rows whose doc_id is null
-count in the statistics and are ranked last among equals; a question without terms, or whose terms occur nowhere, has no
-rows; an empty table on either side gives no rows; a very long text is a shard of its own and is cut at word edges while
+count in the statistics and are ranked last among equals; rows of one item_id are one question, and rows without an item_id are none; a question without
+terms, or whose terms occur nowhere, has no rows; an empty table on either side gives no rows; a very long text is a shard of its own and is cut at word edges while
 it is read; other columns are ignored.
 """
 
@@ -36,6 +36,8 @@ from .words import counted_words
 
 #: Postings of a block, bytes of text of a shard, and terms of all questions that are sent to every task at once.
 BLOCK, SHARD_BYTES, QUESTION_ROWS = 128, 8_000_000, 100_000
+#: Shards that a task searches, about.
+SHARDS_A_TASK = 4
 #: Stretches that are opened before the threshold is looked at again, doubled each time.
 OPEN = 8
 
@@ -255,8 +257,8 @@ class Shard:
         return doc[good], score[good]
 
 
-def _searched(blocks: DataFrame, q: Questions, least: dict, k: int, n_docs: int, total: int) -> DataFrame:
-    """(item_id, doc_id, score): the best ``k`` of every shard for every question."""
+def _searched(blocks: DataFrame, q: Questions, least: dict, k: int, n_docs: int, total: int, shards: int) -> DataFrame:
+    """(item_id, doc_id, score): the best ``k`` of every shard for every question. A task takes a few of ``shards``."""
 
     def run(batches):
         import pyarrow as pa
@@ -287,7 +289,8 @@ def _searched(blocks: DataFrame, q: Questions, least: dict, k: int, n_docs: int,
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(ids[doc], pa.int64(), mask=~valid[doc]), pa.array(score, pa.int64())], names=["item_id", "doc_id", "score"])
 
     columns = ["shard", "number", "block", "first", "last", "docs", "counts", "frontier"]
-    dealt = blocks.select(*columns).repartition("shard").sortWithinPartitions("shard")
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // SHARDS_A_TASK)
+    dealt = blocks.select(*columns).repartition(parts, "shard").sortWithinPartitions("shard")
     return map_batches(dealt, run, "item_id long, doc_id long, score long")
 
 
@@ -308,10 +311,11 @@ def _answered(asked: DataFrame, postings: DataFrame, k: int, n_docs: int, total:
     known = spark.createDataFrame(pa.table({"term": pa.array(list(terms), pa.string()), "number": pa.array(range(len(terms)), pa.int64())}))
     about = postings.filter("term is null").withColumn("number", F.lit(None).cast("long"))
     blocks = postings.filter("term is not null").join(F.broadcast(known), "term").unionByName(about)
-    first = F.pmod(F.xxhash64("shard"), F.lit(max(1, math.isqrt(shards)))) == 0
-    start = written(_ranked(_searched(blocks.filter(first), q, {}, k, n_docs, total), k), "first")
+    few = max(1, math.isqrt(shards))
+    first = F.pmod(F.xxhash64("shard"), F.lit(few)) == 0
+    start = written(_ranked(_searched(blocks.filter(first), q, {}, k, n_docs, total, shards // few), k), "first")
     least = {r["item_id"]: r["score"] for r in start.filter(F.col("rank") == k).select("item_id", "score").collect()}  # a row a question of the set
-    rest = _searched(blocks.filter(~first), q, least, k, n_docs, total)
+    rest = _searched(blocks.filter(~first), q, least, k, n_docs, total, shards)
     return _ranked(start.drop("rank").unionByName(rest), k)
 
 
