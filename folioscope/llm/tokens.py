@@ -136,40 +136,84 @@ def text_blocks(batch, column: str = "text", chars: int = 500_000):
         yield at, texts
 
 
+def _signs() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for: printing ones themselves, the others from 256 on."""
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printing)]
+    return {chr(b): b for b in printing} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
+class WordPieces:
+    """The ids of one word: byte-pair merging of its bytes by rank, for a tokenizer file's vocabulary and merges.
+
+    Where the vocabulary marks word ends, the byte 0xFF, which no UTF-8 text holds, is put after the word; that it joins
+    the byte before it comes first of all merges.
+    """
+
+    def __init__(self, spec: dict, dtype: np.dtype):
+        import tiktoken
+
+        model, signs = spec["model"], _signs()
+        mark, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
+        self.end = b"\xff" if mark else b""
+        whole = lambda t: bytes(signs[c] for c in (t.removesuffix(mark) if mark else t)) + (self.end if mark and t.endswith(mark) else b"")
+        ids = {bytes([b]): vocab.get(c) for c, b in signs.items()}
+        if mark:
+            ids |= {bytes([b]) + self.end: vocab.get(c + mark) for c, b in signs.items()}
+        ranks = {t: n for n, t in enumerate(ids)}
+        for m in model["merges"]:
+            a, b = m if isinstance(m, list) else m.split(" ")
+            t = whole(a + b)
+            ranks.setdefault(t, len(ranks))
+            ids.setdefault(t, vocab[a + b])
+        self.merge = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.id_bytes = [b"" if ids[t] is None else np.array(ids[t], dtype=dtype).tobytes() for t in ranks]
+
+    def __call__(self, word: str) -> bytes:
+        return b"".join(map(self.id_bytes.__getitem__, self.merge(word.encode() + self.end)))
+
+
+class _Known(dict):
+    """word -> ids, made when first asked for. ``turn`` ends a generation: words not met in the next one are forgotten."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.old.get(word)
+        if made is None:
+            made = self.make(word)
+        self[word] = made
+        return made
+
+    def turn(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
+
 class IdEncoder:
-    """Texts -> id arrays by the ``tokenizers`` library, each distinct word encoded once."""
+    """Texts -> id arrays as the ``tokenizers`` library gives them, each distinct word encoded once."""
 
     def __init__(self, path: str, special: bool = True):
+        import json
+
         self.split = WordSplitter(path, special)
-        if not special:
-            self.split.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.split.tok.get_vocab_size() <= 65536 else "<u4")
-        self.cache = WordCache(self._encode)
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Words that can stand side by side without changing are encoded as one text, the others one by one."""
-        if self.split.lower:  # white space parts words and is dropped
-            joins, gap = [w not in self.split.special for w in words], " "
-        else:  # a space begins a word and is part of it
-            joins, gap = [w[0] == " " and len(w) > 1 and not w[1:].isspace() for w in words], ""
-        out = {}
-        apart = [w for w, j in zip(words, joins) if not j]
-        for w, e in zip(apart, self.split.tok.encode_batch_fast(apart, add_special_tokens=False)):
-            out[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        side = [w for w, j in zip(words, joins) if j]
-        for k in range(0, len(side), 2000):
-            part = side[k : k + 2000]
-            got = self.split.tok.encode(gap.join(part), add_special_tokens=False)
-            cut = (np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * self.dtype.itemsize).tolist()
-            ids = np.array(got.ids, dtype=self.dtype).tobytes()
-            out.update(zip(part, [ids[a:b] for a, b in zip(cut, cut[1:])]))
-        return [out[w] for w in words]
+        self.pieces = WordPieces(json.load(open(path)), self.dtype)
+        self.known = _Known(self._one)
+
+    def _one(self, word: str) -> bytes:
+        if (own := self.split.special.get(word)) is not None:
+            return np.array(own, dtype=self.dtype).tobytes()
+        return self.pieces(word)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
-        words = [self.split.words(t) for t in texts]
-        get = self.cache.learn(words)
-        return [b"".join(map(get, w)) for w in words]
+        self.known.turn(CACHE_WORDS)
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.split.words(t))) for t in texts]
 
 
 _HELD: dict = {}
