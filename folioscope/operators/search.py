@@ -45,16 +45,6 @@ def similarity(vectors: DataFrame, query: DataFrame, embedding: str = "embedding
     return vectors.crossJoin(F.broadcast(q)).withColumn("score", F.round(dot(F.col(embedding), F.col("_q")), 6)).drop("_q")
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, columns of ``vectors``, score) of every query with every vector; rows without an embedding drop out.
-
-    Which side is sent round is left to the planner, as both can grow.
-    """
-    q = queries.filter(F.col(embedding).isNotNull()).select(F.col(key).alias("query_id"), F.col(embedding).alias("_q"))
-    pairs = vectors.filter(F.col(embedding).isNotNull()).crossJoin(q)
-    return pairs.withColumn("score", F.round(dot(F.col(embedding), F.col("_q")), 6)).drop("_q", embedding)
-
-
 def top_each(df: DataFrame, k: int, group: str, key: str, score: str = "score") -> DataFrame:
     """The best ``k`` rows of each group; each task keeps its own best ``k`` before the shuffle."""
     rn = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions.text import n_words, words
-from ..operators import quality, scoring, search, tags
+from ..operators import quality, scoring, search, tags, vectors
 from ..sources.tables import QUESTIONS, literal, load, values
 from . import registry
 from .grounding import _PAIRS, _pairs
@@ -243,8 +243,8 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb, docs = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "documents")
     ids = emb.filter("vec_id % 100 = 0 and embedding is not null")
     asked = ids.select((F.floor(F.col("vec_id") / 100) + 1).cast("int").alias("qid")).join(qs.select("qid", "lim"), "qid")
-    near = search.similarities(emb, ids).select((F.floor(F.col("query_id") / 100) + 1).cast("int").alias("qid"), F.col("vec_id").alias("doc_id"), "score")
-    v = search.top_each(near, 15, "qid", "doc_id").join(asked, "qid").withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).filter("rn <= lim")
+    near = vectors.nearest(emb, ids, 15).select((F.floor(F.col("query_id") / 100) + 1).cast("int").alias("qid"), F.col("vec_id").alias("doc_id"), "score")
+    v = near.join(asked, "qid").withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).filter("rn <= lim")
     best = search.top(search.bm25(docs, TERMS), 15, "doc_id").select("doc_id", "score")  # as many as any question takes
     every = Window.partitionBy(F.lit(0))  # fifteen rows
     best = best.withColumns({"rn": F.row_number().over(every.orderBy(F.desc("score"), "doc_id")), "most": F.max("score").over(every)})

@@ -22,8 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh name in that folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet and read again: what is dear to compute and narrow is computed once, however often read."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
