@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,11 @@ NOTICE = "Professional Judgment Required: standards are applied to specific fact
 
 #: Words that carry no meaning, and words that show what a question wants, in order.
 STOP = (
-    "the a an and or but in on at to for of with by from up about into through during before after above below between among this that these "
-    "those i me my myself we us our you your he him his she her it its they them their be is am are was were being been have has had having "
-    "will would should could can may might"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during",
+    "before", "after", "above", "below", "between", "among", "this", "that", "these", "those", "i", "me", "my", "myself", "we", "us", "our", "you",
+    "your", "he", "him", "his", "she", "her", "it", "its", "they", "them", "their", "be", "is", "am", "are", "was", "were", "being", "been", "have",
+    "has", "had", "having", "will", "would", "should", "could", "can", "may", "might",
+)
 INTENTS = {
     "calculation": ("how", "calculate", "compute", "determine"),
     "definition": ("what", "define", "explain"),
@@ -39,19 +42,20 @@ INTENTS = {
     "procedure": ("steps", "process", "procedure"),
 }
 
-#: Patterns of products, and what a whole-life hit may not be.
+#: Patterns of products, of questions and of documents (with the spelling that is matched there), and what a
+#: whole-life hit may not be.
 PRODUCTS = {
-    "universal_life": (r"universal\s+life@", r"ul\s+polic", r"ul\s+insurance@", r"flexible\s+premium@", r"cash\s+value\s+life@", r"secondary\s+guarantee@", r"no\s*lapse\s+guarantee@", r"death\s+benefit\s+option@", r"account\s+value@"),
-    "whole_life": (r"whole\s+life\s+polic", r"whole\s+life\s+insurance@", r"traditional\s+whole\s+life@", r"ordinary\s+life@", r"permanent\s+insurance@", r"participating\s+whole\s+life@"),
-    "term_life": (r"term\s+life@", r"term\s+insurance@", r"level\s+term@", r"decreasing\s+term@", r"renewable\s+term@", r"convertible\s+term@"),
-    "variable_life": (r"variable\s+life@", r"variable\s+universal\s+life@", r"vul\s+polic", r"separate\s+account@"),
+    "universal_life": (r"\buniversal\s+life\b", r"\bul\s+polic", r"\bul\s+insurance\b", r"\bflexible\s+premium\b", r"\bcash\s+value\s+life\b", r"\bsecondary\s+guarantee\b", r"\bno\s*lapse\s+guarantee\b", r"\bdeath\s+benefit\s+option\b", r"\baccount\s+value\b"),
+    "whole_life": (r"\bwhole\s+life\s+polic", r"\bwhole\s+life\s+insurance\b", r"\btraditional\s+whole\s+life\b", r"\bordinary\s+life\b", r"\bpermanent\s+insurance\b", r"\bparticipating\s+whole\s+life\b"),
+    "term_life": (r"\bterm\s+life\b", r"\bterm\s+insurance\b", r"\blevel\s+term\b", r"\bdecreasing\s+term\b", r"\brenewable\s+term\b", r"\bconvertible\s+term\b"),
+    "variable_life": (r"\bvariable\s+life\b", r"\bvariable\s+universal\s+life\b", r"\bvul\s+polic", r"\bseparate\s+account\b"),
 }
 DOCUMENT_PRODUCTS = {
-    "universal_life": (r"universal\s+life@", r"ul\s+polic", r"cash\s+value\s+life@", r"flexible\s+premium@", r"death\s+benefit\s+option@", r"secondary\s+guarantee@", r"no\s*lapse\s+guarantee@"),
-    "whole_life": (r"whole\s+life\s+polic", r"whole\s+life\s+insurance@", r"traditional\s+whole\s+life@", r"ordinary\s+life@", r"permanent\s+insurance@"),
-    "term_life": (r"term\s+life@", r"term\s+insurance@", r"level\s+term@", r"decreascing\s+term@"),
+    "universal_life": (r"\buniversal\s+life\b", r"\bul\s+polic", r"\bcash\s+value\s+life\b", r"\bflexible\s+premium\b", r"\bdeath\s+benefit\s+option\b", r"\bsecondary\s+guarantee\b", r"\bno\s*lapse\s+guarantee\b"),
+    "whole_life": (r"\bwhole\s+life\s+polic", r"\bwhole\s+life\s+insurance\b", r"\btraditional\s+whole\s+life\b", r"\bordinary\s+life\b", r"\bpermanent\s+insurance\b"),
+    "term_life": (r"\bterm\s+life\b", r"\bterm\s+insurance\b", r"\blevel\s+term\b", r"\bdecreascing\s+term\b"),
 }
-NOT_WHOLE = r"whole\s+contract@"
+NOT_WHOLE = r"\bwhole\s+contract\b"
 
 #: General terms in order and what a question with one is widened by.
 EXPANSIONS = {
@@ -72,18 +76,16 @@ EXPANSIONS = {
 
 #: Words of the seven fields that are answered at all.
 FIELDS = {
-    "financial": "financial,finance,revenue,profit,loss,earnings,income,expense,assets,liabilities,equity,balance sheet,cash flow,statement,budget,forecast,valuation,investment,portfolio,returns,capital,funding,financing,debt,credit,loan,mortgage",
-    "accounting": "accounting,gaap,ifrs,asc,fas,ias,standard,compliance,audit,auditing,journal,ledger,depreciation,amortization,accrual,recognition,measurement,disclosure,reporting,consolidation,segment,fair value,impairment,tax",
-    "insurance": "insurance,insurer,policy,premium,claim,coverage,underwriting,reinsurance,actuarial,risk,reserve,liability,benefit,annuity,life insurance,health insurance,property,casualty,solvency,capital adequacy,licat,regulatory",
-    "banking": "bank,banking,deposit,withdrawal,account,lending,borrowing,interest rate,mortgage,loan,credit,debit,payment,financial institution,federal reserve,monetary policy,currency",
-    "investment": "investment,investing,stock,bond,security,portfolio,mutual fund,etf,dividend,yield,return,risk,volatility,market,trading,hedge fund,private equity,venture capital",
-    "mathematical": "calculation,formula,equation,mathematical,statistics,probability,model,modeling,quantitative,analysis,ratio,percentage,present value,future value,discount rate,compound,regression",
-    "economics": "economic,economics,inflation,deflation,gdp,recession,growth,unemployment,monetary,fiscal,policy,market,supply,demand,price,cost,microeconomic,macroeconomic",
+    "financial": ("financial", "finance", "revenue", "profit", "loss", "earnings", "income", "expense", "assets", "liabilities", "equity", "balance sheet", "cash flow", "statement", "budget", "forecast", "valuation", "investment", "portfolio", "returns", "capital", "funding", "financing", "debt", "credit", "loan", "mortgage"),
+    "accounting": ("accounting", "gaap", "ifrs", "asc", "fas", "ias", "standard", "compliance", "audit", "auditing", "journal", "ledger", "depreciation", "amortization", "accrual", "recognition", "measurement", "disclosure", "reporting", "consolidation", "segment", "fair value", "impairment", "tax"),
+    "insurance": ("insurance", "insurer", "policy", "premium", "claim", "coverage", "underwriting", "reinsurance", "actuarial", "risk", "reserve", "liability", "benefit", "annuity", "life insurance", "health insurance", "property", "casualty", "solvency", "capital adequacy", "licat", "regulatory"),
+    "banking": ("bank", "banking", "deposit", "withdrawal", "account", "lending", "borrowing", "interest rate", "mortgage", "loan", "credit", "debit", "payment", "financial institution", "federal reserve", "monetary policy", "currency"),
+    "investment": ("investment", "investing", "stock", "bond", "security", "portfolio", "mutual fund", "etf", "dividend", "yield", "return", "risk", "volatility", "market", "trading", "hedge fund", "private equity", "venture capital"),
+    "mathematical": ("calculation", "formula", "equation", "mathematical", "statistics", "probability", "model", "modeling", "quantitative", "analysis", "ratio", "percentage", "present value", "future value", "discount rate", "compound", "regression"),
+    "economics": ("economic", "economics", "inflation", "deflation", "gdp", "recession", "growth", "unemployment", "monetary", "fiscal", "policy", "market", "supply", "demand", "price", "cost", "microeconomic", "macroeconomic"),
 }
-FIELDS = {k: tuple(v.split(",")) for k, v in FIELDS.items()}
-#: Signs that a question is about the documents, and forms of questions of general knowledge. ``@``: no
-#: letter or digit may follow; one may not stand before either.
-OF_DOCUMENTS = (r"our company@", r"the uploaded@", r"the document@", r"in the document@", r"show me@", r"find@[^\n]*(?:[^\p{L}\p{N}_])in@", r"analyze@", r"policy@", r"procedure@", r"in the[^\n]*image@", r"from the[^\n]*image@", r"the[^\n]*chart@", r"uploaded[^\n]*image@")
+#: Signs that a question is about the documents, and forms of questions of general knowledge.
+OF_DOCUMENTS = (r"\bour company\b", r"\bthe uploaded\b", r"\bthe document\b", r"\bin the document\b", r"\bshow me\b", r"\bfind\b[^\n]*\bin\b", r"\banalyze\b", r"\bpolicy\b", r"\bprocedure\b", r"\bin the[^\n]*image\b", r"\bfrom the[^\n]*image\b", r"\bthe[^\n]*chart\b", r"\buploaded[^\n]*image\b")
 GENERAL = (r"^\s*what is\s+[a-z\s]+\??$", r"^\s*define\s+[a-z\s]+\??$", r"^\s*what\s+does\s+[a-z\s]+\s+mean\??$", r"^\s*what\s+are\s+the\s+types\s+of\s+[a-z\s?]+\??$", r"^\s*how\s+does\s+[a-z\s]+\s+work\??$")
 
 #: Words that call for extraction, by kind, the weight of some, and forms that add to each kind.
@@ -98,8 +100,8 @@ FORMS = (r"who are? the", r"list[^\n]*(?:employees|staff|people)", r"breakdown[^
 
 
 def edged(pattern: str) -> str:
-    """``pattern`` at the edge of a word; ``@`` in it stands for the end of one."""
-    return EDGE + "(?:" + pattern.replace("@", END) + ")"
+    r"""``pattern`` with its edges of words (``\b``) said so that both engines read them alike, for letters of any script."""
+    return re.sub(r"\\b(?=[a-z])", lambda _: EDGE, pattern).replace(r"\b", END)
 
 
 def matched(c: Column, patterns) -> Column:

@@ -6,14 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, count_of, labels_where, n_words
+from .questions import RULES
 
-#: The compliance rules in order; a pattern may hit inside a word.
-COMPLIANCE = {
-    "tax_advice": r"tax\s+advice|tax\s+planning|minimize\s+tax|tax\s+strategy|tax\s+optimization",
-    "legal_advice": r"legal\s+advice|sue|lawsuit|legal\s+interpretation|litigation|legal\s+opinion",
-    "investment_advice": r"investment\s+advice|buy|sell|trade|investment\s+recommendation|portfolio\s+advice",
-    "actuarial_certification": r"actuarial\s+opinion|certify|certification|actuarial\s+statement",
-}
+#: The compliance rules in order, each as one pattern, which may hit inside a word.
+COMPLIANCE = {rule: "|".join(patterns) for rule, patterns in RULES.items()}
 #: Kinds of question in order, with the words that show them.
 KINDS = {
     "how_to": ("how to", "how do i", "steps", "process"),

@@ -125,7 +125,7 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(d, "conv_id").join(q, "conv_id").select("conv_id", "turn", "n_docs", "n_citations", "n_words", n_words(F.col("question")).alias("n_question_words"), F.round("r", 6).alias("doc_relevance"), F.round(density, 6).alias("citation_density"))
 
 
-@query(_THREE.replace("lower(c.text) AS low", "lower(c.text) AS low") + """,
+@query(_THREE + """,
     f AS (SELECT conv_id, regexp_extract_all(lower(text), '\\S+')[1:200] AS w FROM o WHERE rn <= 3), d AS (SELECT conv_id, list_distinct(flatten(list(w))) AS w FROM f GROUP BY conv_id),
     j AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(question), '\\S+')) AS a, w AS b FROM q JOIN d USING (conv_id))
     SELECT conv_id, round(CASE WHEN len(list_distinct(a || b)) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END::DOUBLE, 6) AS jaccard,
