@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.shared import written
 
 
 def metadata_hash(*columns: str) -> Column:
@@ -76,13 +77,12 @@ def uncovered(boxes: DataFrame, share: float = 0.5) -> DataFrame:
     return s.join(big, (F.col("s.page") == F.col("l.page")) & (F.col("s.box") != F.col("l.box")) & larger & (wide * high > share * F.col("s.area")), "left_anti")
 
 
-#: Ids of one range of a hot group, which one task orders.
-RANGE = 4096
-
-
 def _ranged(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the range of their id; rows without one come first, as in a sort."""
-    return rows.withColumn("_range", F.coalesce(F.floor(F.col(key) / RANGE).cast("long"), F.lit(-(1 << 62))))
+    """``rows`` (narrow ones) written by ranges of their key, with the number of the range; rows without a key come first.
+
+    The ranges hold about as many rows each, however the keys lie, so there are no more of them than tasks.
+    """
+    return written(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id().cast("long")), "ranges")
 
 
 def numbered(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:

@@ -60,7 +60,11 @@ def weights(kind: Column, spec: Column) -> list[Column]:
 def exact_match(own: Column, content: Column) -> Column:
     """Points for each entity in the content, by its kind, times the share found; at most 1."""
     low = F.lower(content)
-    hit = F.filter(own, lambda e: F.contains(low, F.lower(e)))
+    return exact_points(own, F.filter(own, lambda e: F.contains(low, F.lower(e))))
+
+
+def exact_points(own: Column, hit: Column) -> Column:
+    """``exact_match`` where it is known which entities were found."""
     points = F.aggregate(hit, F.lit(0.0), lambda s, e: s + F.when(F.length(e) > 10, 0.3).when(e.rlike(REFERENCE), 0.25).otherwise(0.15))
     return F.when(F.size(own) == 0, 0.0).otherwise(F.least(points * F.size(hit) / F.size(own), F.lit(1.0)))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem_sql
-from ..operators import postings, vectors
+from ..functions.stem import stem, stem_sql
+from ..operators import lexicon, postings, vectors
 from ..operators import questions as ask
 from ..sources.tables import load
 from . import registry
@@ -110,3 +110,48 @@ def question_fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = load(spark, sf_dir, "documents").select("doc_id", F.upper("text").alias("t"))
     codes = hits.join(coded, "qid").join(texts, "doc_id").select("qid", "doc_id", F.size(F.filter("codes", lambda c: F.contains("t", c))).alias("n"))
     return postings.fused(near, keyword, codes, "qid", "doc_id", 20).select("qid", "doc_id", "score")
+
+
+#: Terms of a lexicon that the benchmark items give: their words of seven signs and more, and the words' stems as aliases.
+_LEXICON = f"""lw AS (SELECT DISTINCT item_id AS category, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark),
+    ls AS (SELECT category, word, stem FROM ({stem_sql('lw', 'word')}) WHERE length(word) >= 7),
+    lx AS (SELECT category, word AS term, 1.0::DOUBLE AS weight FROM ls UNION ALL SELECT category, stem, 0.8::DOUBLE FROM ls WHERE stem <> word)"""
+
+
+@query(f"""WITH {_LEXICON}, lt AS (SELECT DISTINCT term FROM lx), lh AS (SELECT doc_id, term FROM (SELECT doc_id, lower(text) AS body FROM documents), lt WHERE contains(body, term)),
+    lg AS (SELECT doc_id, category, sum(weight) AS points FROM lh JOIN lx USING (term) GROUP BY ALL)
+    SELECT doc_id, category, round(points / max(points) OVER (PARTITION BY doc_id), 6) AS score FROM lg""")
+def lexicon_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each category of a lexicon a document holds, as a share of its best: 1 a term, 0.8 an alias.
+
+    The lexicon is a table: each benchmark item is a category, its long words are terms, their stems aliases.
+    """
+    words = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("category"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    own = words.filter(F.length("word") >= 7).distinct().withColumn("stem", stem(F.col("word")))
+    rows = own.select("category", F.col("word").alias("term"), F.lit(1.0).alias("weight")).unionByName(own.filter("stem <> word").select("category", F.col("stem").alias("term"), F.lit(0.8).alias("weight")))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
+    return lexicon.categories(docs, rows, "doc_id", "body").select("doc_id", "category", F.round("score", 6).alias("score"))
+
+
+@query("""
+    WITH t AS (SELECT item_id, term, place FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^\t-\r\x1C-\x20\x85\xA0]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[^\t-\r\x1C-\x20\x85\xA0]+'), 1) AS place FROM benchmark)),
+    s AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?]+'))) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?]+'), 1) AS pos FROM documents),
+    h AS (SELECT item_id, doc_id, place, pos, s FROM s, t WHERE length(s) > 10 AND contains(lower(s), term)),
+    f AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS nth FROM (SELECT DISTINCT item_id, doc_id FROM h)),
+    n AS (SELECT item_id, doc_id, left(s, 200) || '...' AS sentence, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY place, pos) AS rn FROM h JOIN f USING (item_id, doc_id) WHERE nth <= 2)
+    SELECT item_id, doc_id, rn, sentence FROM n WHERE rn <= 3""")
+def upload_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every item three sentences of each of the first two documents that hold one of its words in a sentence."""
+    b = load(spark, sf_dir, "benchmark")
+    terms = b.select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[^\\t-\\r\\x1C-\\x20\\x85\\xA0]+"), F.lit(0))).alias("place", "term"))
+    parts = F.transform(F.split("text", "[.!?]+"), lambda x, k: F.struct(k.alias("pos"), F.trim(x).alias("s")))
+    docs = load(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.explode(F.filter(parts, lambda x: F.length(x["s"]) > 10)).alias("x")).select("doc_id", F.lower("x.s").alias("low"))
+    # The first two documents of an item are among the first two of one of its words.
+    rn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))
+    first = lexicon.hits(lines, terms.select("term"), "doc_id", "low").distinct().withColumn("rn", rn("term")).filter("rn <= 2").drop("rn")
+    chosen = first.join(terms.select("item_id", "term").distinct(), "term").select("item_id", "doc_id").distinct().withColumn("rn", rn("item_id")).filter("rn <= 2").drop("rn")
+    own = docs.select("doc_id", F.filter(parts, lambda x: F.length(x["s"]) > 10).alias("xs")).join(chosen, "doc_id").join(terms, "item_id")
+    held = own.select("item_id", "doc_id", "place", F.explode(F.filter("xs", lambda x: F.contains(F.lower(x["s"]), F.col("term")))).alias("x"))
+    nth = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy("place", "x.pos"))
+    return held.withColumn("rn", nth.cast("long")).filter("rn <= 3").select("item_id", "doc_id", "rn", F.concat(F.substring("x.s", 1, 200), F.lit("...")).alias("sentence"))
