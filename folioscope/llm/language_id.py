@@ -26,6 +26,8 @@ from .common import map_batches
 
 #: Labelled rows a language from which its trigrams are counted (about; they are drawn by a hash of doc_id).
 FIT_ROWS = 4_000
+#: Languages that are learned, the commonest labels; a language takes 256 KB.
+LANGUAGES = 256
 BUCKETS = 1 << 15
 #: How many independent draws a trigram is worth in the penalty: neighbours share two of three letters.
 OVERLAP = 3.0
@@ -104,13 +106,12 @@ def mixture(p: np.ndarray, c: np.ndarray, steps: int = 30) -> tuple[np.ndarray,
 def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Count trigrams by language over labelled rows (lang, text) where ``learn`` holds."""
     own = docs.filter(learn & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
-    rows = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not rows:
         return LanguageModel([], np.zeros((0, BUCKETS), dtype=np.float32))
-    share = F.lit(1.0)
-    for lang, n in rows.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, fit_rows / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000
+    # 63 bits of a hash against the share of each language's rows.
+    most = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(int(fit_rows / n * (1 << 63)), (1 << 63) - 1))])
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 1) <= F.try_element_at(most, F.col("lang"))
 
     def count(batches):
         import pyarrow as pa

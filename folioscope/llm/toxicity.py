@@ -189,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     own = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = written(own, "labels")
     share = min(1.0, fit_rows / max(own.count(), 1))
-    drawn = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
+    # 63 bits of a hash against the share, so that the sample keeps its size however many labels there are.
+    drawn = own.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 1) < int(share * (1 << 63))) if share < 1 else own
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small_side(drawn), "doc_id")
     # Copies of a text would teach and judge at once: a text belongs to one fold, and counts once.
     rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
