@@ -121,10 +121,26 @@ def processing_tier(c: Column, known: Column) -> Column:
     return F.when(low.rlike(PLAIN) | (n <= 3), "fast").when(known, "cached").otherwise("full")
 
 
+#: What shows that a question is a hard one.
+HARD = (" vs ", " versus ", " compared to ", " compare ", " difference between ", " contrast ", " which is better ", " should i choose ")
+
+
+def full_tier(c: Column, known: Column, alike: Column) -> Column:
+    """``processing_tier`` in full: hard or long questions go the full way, others are cached if most of their words are."""
+    low = F.lower(c)
+    n = n_words(c)
+    hard = any_of(low, HARD) | (n > 10)
+    return F.when(F.trim(low).rlike(PLAIN) | (n <= 3), "fast").when(known, "cached").when(hard, "full").when(alike, "cached").otherwise("full")
+
+
+def plain_words(c: Column) -> Column:
+    """A question's words without punctuation, squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9_ \t\n]", ""), r"[ \t\n]+", " "))
+
+
 def signature(c: Column) -> Column:
-    """A question's words without punctuation, squeezed, and the start of their hash."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9_ \t\n]", ""), r"[ \t\n]+", " "))
-    return F.substring(F.sha2(plain, 256), 1, 16)
+    """The start of the hash of ``plain_words``."""
+    return F.substring(F.sha2(plain_words(c), 256), 1, 16)
 
 
 def importance(c: Column) -> Column:

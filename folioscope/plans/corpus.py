@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as tx
-from ..operators import ingest, search
+from ..operators import ingest, sampling, search
 from ..sources.tables import literal, load, values
 from . import registry
 from .registry import query
@@ -171,6 +172,29 @@ def line_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.sampled_lines(load(spark, sf_dir, "documents"), "license|[0-9]{4}")
 
 
+_HELD = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+_WANTED = "list_distinct([" + ", ".join(f"'{w}'" for w in sampling.GENERAL) + "]" + "".join(f" || CASE WHEN {_HELD('low', ws)} THEN [{', '.join(repr(w) for w in ws)}] ELSE [] END" for ws in sampling.FRAMEWORKS.values()) + ")"
+
+
+@query(f"""
+    WITH a AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    b AS (SELECT *, CAST(floor(len(l) * 0.15::DOUBLE) AS INT) AS b, CAST(floor(len(l) * 0.10::DOUBLE) AS INT) AS e, {_WANTED} AS wanted FROM a),
+    c AS (SELECT *, l[b + 1:len(l) - e] AS mid FROM b),
+    d AS (SELECT *, [CASE WHEN len([w FOR w IN wanted IF contains(lower(x), w)]) > 0 THEN 2 WHEN regexp_matches(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '{sampling.HEADING}') THEN 1 ELSE 0 END FOR x IN mid] AS kind FROM c),
+    k AS (SELECT *, flatten([mid[greatest(i - 1, 1):i + 3] FOR i IN range(1, len(mid) + 1) IF kind[i] = 2]) || flatten([mid[greatest(i - 1, 1):i + 3] FOR i IN range(1, len(mid) + 1) IF kind[i] = 1]) AS near FROM d),
+    f AS (SELECT *, {sql.first_seen('near')} AS key_lines FROM k),
+    g AS (SELECT *, [s.x FOR s IN list_sort([{{'h': md5(length(t) || ':' || x), 'x': x}} FOR x IN list_distinct(mid) IF NOT list_contains(key_lines, x)])] AS drawn FROM f),
+    h AS (SELECT *, array_to_string(['{sampling.MARKS[0]}'] || l[1:b] || [chr(10) || '{sampling.MARKS[1].strip()}'] || (CASE WHEN len(key_lines) < b THEN key_lines || drawn ELSE key_lines END)[1:b]
+        || [chr(10) || '{sampling.MARKS[2].strip()}'] || CASE WHEN e = 0 THEN l ELSE l[len(l) - e + 1:] END, chr(10)) AS whole FROM g),
+    p AS (SELECT *, string_split(whole, '{sampling.CUT}') AS parts FROM h),
+    o AS (SELECT doc_id, CASE WHEN length(t) <= 2000 THEN t WHEN length(whole) > 2000 THEN array_to_string([CASE WHEN length(x) > 2000 // len(parts) THEN left(x, 2000 // len(parts)) || '{sampling.TRIMMED}' ELSE x END FOR x IN parts], '{sampling.CUT}') ELSE whole END AS sample FROM p)
+    SELECT doc_id, length(sample)::BIGINT AS n_chars, md5(sample) AS digest FROM o""")
+def budgeted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text within 2,000 signs: beginning, key lines of the middle with their context, a seeded fill, the end."""
+    got = sampling.sampled(load(spark, sf_dir, "documents"), "doc_id", "text", 2000)
+    return got.select("doc_id", F.length("sample").cast("long").alias("n_chars"), F.md5("sample").alias("digest"))
+
+
 @query("""
     WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>[^<]*</script>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
     SELECT page_id, trim(regexp_replace(t, '[ \\t\\n\\r]+', ' ', 'g')) AS body FROM t""")

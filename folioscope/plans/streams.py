@@ -63,3 +63,22 @@ def stream_compressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each request finds an answer put within a day, by state with a time to live."""
     return streams.finished(streams.cached_requests(streams.read_events(spark, sf_dir, "events.parquet"), ["user_id", "event_type"]), shared_folder(spark))
+
+
+@query("""
+    WITH RECURSIVE o AS (SELECT event_id, user_id, ts, event_type NOT IN ('error', 'click') AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT event_id, user_id, i, CASE WHEN ok THEN 0 ELSE 1 END AS n, ts AS last, 'CLOSED' AS state, false AS blocked FROM o WHERE i = 1
+          UNION ALL
+          SELECT o.event_id, o.user_id, o.i,
+                 CASE WHEN r.state = 'OPEN' AND o.ts - r.last <= INTERVAL 1 DAY THEN r.n WHEN NOT o.ok THEN r.n + 1 WHEN r.state = 'OPEN' THEN 0 ELSE r.n END,
+                 CASE WHEN r.state = 'OPEN' AND o.ts - r.last <= INTERVAL 1 DAY THEN r.last WHEN NOT o.ok THEN o.ts ELSE r.last END,
+                 CASE WHEN r.state = 'OPEN' AND o.ts - r.last <= INTERVAL 1 DAY THEN 'OPEN' WHEN NOT o.ok AND r.n + 1 >= 3 THEN 'OPEN' ELSE 'CLOSED' END,
+                 r.state = 'OPEN' AND o.ts - r.last <= INTERVAL 1 DAY
+          FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+    SELECT user_id, event_id, state, blocked FROM r""")
+def stream_breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A circuit breaker a user: open after three failures, tried again after a day. It never rests half open after a call:
+    that call closes it, or opens it again.
+    """
+    own = streams.breaker_states(streams.read_events(spark, sf_dir, "events.parquet"), ["error", "click"], 3, "1 day")
+    return streams.finished(own, shared_folder(spark))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import n_words
-from ..operators import tags
+from ..operators import similar, tags
 from ..sources.tables import QUESTIONS, literal, load, values
 from . import registry
 from .registry import query
@@ -185,6 +185,25 @@ def processing_tier_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(seen, "signature", "left").select("qid", "signature", tags.processing_tier(F.col("query"), known).alias("tier"))
 
 
+@query(f"""
+    WITH q AS (SELECT qid, query, row_number() OVER (ORDER BY o, id, turn) AS place, trim(lower(query)) AS low, len(regexp_extract_all(query, '\\S+')) AS n,
+        trim(regexp_replace(regexp_replace(lower(query), '[^a-z0-9_ \\t\\n]', '', 'g'), '[ \\t\\n]+', ' ', 'g')) AS plain FROM {_ALL} WHERE query IS NOT NULL),
+    w AS (SELECT *, list_distinct([x FOR x IN string_split(plain, ' ') IF x <> '']) AS w, row_number() OVER (PARTITION BY plain ORDER BY place) > 1 AS known FROM q),
+    s AS (SELECT DISTINCT a.qid FROM w a JOIN w b ON b.place < a.place AND len(list_intersect(a.w, b.w)) > 0.7 * len(a.w) WHERE len(a.w) > 0)
+    SELECT qid, CASE WHEN regexp_matches(low, '{tags.PLAIN}') OR n <= 3 THEN 'fast' WHEN known THEN 'cached' WHEN {_has('lower(query)', tags.HARD)} OR n > 10 THEN 'full'
+        WHEN qid IN (SELECT qid FROM s) THEN 'cached' ELSE 'full' END AS tier FROM w""")
+def processing_tier_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers by all rules: cached is a question that an earlier one equals, or one that is not hard and shares over 0.7 of
+    its words with an earlier one.
+    """
+    q = _all_questions(spark, sf_dir).filter("query is not null").withColumn("plain", tags.plain_words(F.col("query")))
+    first = q.groupBy("plain").agg(F.min("place").alias("first"), F.min_by("qid", "place").alias("one"))
+    words = first.select("one", "first", F.filter(F.array_distinct(F.split("plain", " ")), lambda x: x != "").alias("w"))
+    alike = similar.held_by_earlier(words, "one", "first", "w").select("one", F.lit(True).alias("alike"))
+    own = q.join(first.join(alike, "one", "left"), "plain")
+    return own.select("qid", tags.full_tier(F.col("query"), F.col("place") > F.col("first"), F.coalesce("alike", F.lit(False))).alias("tier"))
+
+
 @query("""
     WITH v AS (SELECT conv_id, turn, text, 1.0::DOUBLE + CASE WHEN contains(text, '?') THEN 0.3 ELSE 0 END::DOUBLE
         + CASE WHEN contains(lower(text), 'calculate') OR contains(lower(text), 'formula') OR contains(lower(text), 'equation') THEN 0.4 ELSE 0 END::DOUBLE

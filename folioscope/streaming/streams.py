@@ -136,3 +136,48 @@ def cached_requests(events: DataFrame, keys: list[str], ttl_hours: float = 24, l
 
     own = events.withWatermark("ts", late).select("ts", F.unix_micros("ts").alias("at"), "event_id", *keys).groupBy(*keys)
     return own.applyInPandasWithState(run, "event_id long, hit boolean", "put long", "append", "EventTimeTimeout")
+
+
+def breaker_states(events: DataFrame, bad: list[str], threshold: int = 5, timeout: str = "60 seconds", late: str = "1 day") -> DataFrame:
+    """(user_id, event_id, state, blocked): a circuit breaker a user, with its state after each call.
+
+    CLOSED lets calls through and counts failures; at ``threshold`` it is OPEN and blocks. Once ``timeout`` has passed since the
+    last failure a timer of event time makes it HALF_OPEN, or the first call after that does: a success then closes it and
+    clears the count, a failure opens it again. Calls are taken in order of time within a batch, and calls later than the
+    watermark are dropped. State is kept only for users with failures on their count.
+    """
+    import pandas as pd
+
+    wait = int(pd.Timedelta(timeout).total_seconds() * 1_000_000)
+
+    def run(key, batches, state):
+        if state.hasTimedOut:  # the timer of an open breaker
+            _, n, last = state.get
+            state.update(("HALF_OPEN", n, last))
+            yield pd.DataFrame({"user_id": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "state": pd.Series(dtype="str"), "blocked": pd.Series(dtype="bool")})
+            return
+        now, n, last = state.get if state.exists else ("CLOSED", 0, 0)
+        calls = sorted((int(t), int(e), bool(ok)) for batch in batches for t, e, ok in zip(batch["at"], batch["event_id"], batch["ok"]))
+        out = []
+        for at, event, ok in calls:
+            if now == "OPEN" and at - last <= wait:
+                out.append((key[0], event, now, True))
+                continue
+            now = "HALF_OPEN" if now == "OPEN" else now
+            if ok:
+                now, n = ("CLOSED", 0) if now == "HALF_OPEN" else (now, n)
+            else:
+                n, last = n + 1, at
+                now = "OPEN" if n >= threshold else now
+            out.append((key[0], event, now, False))
+        if n or now != "CLOSED":
+            state.update((now, n, last))
+            if now == "OPEN":
+                state.setTimeoutTimestamp(max((last + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "state", "blocked"])
+
+    own = events.withWatermark("ts", late).select("ts", F.unix_micros("ts").alias("at"), "event_id", (~F.col("event_type").isin(*bad)).alias("ok"), "user_id")
+    schema = "user_id long, event_id long, state string, blocked boolean"
+    return own.groupBy("user_id").applyInPandasWithState(run, schema, "state string, n long, last long", "append", "EventTimeTimeout")
