@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +68,43 @@ def entropy(rows: DataFrame, key: str, value: str) -> DataFrame:
     each = n.groupBy(key).agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     bits = F.log2("total") - F.col("s") / F.col("total")
     return each.select(key, F.col("k").alias("n_values"), F.round(F.when(F.col("k") > 1, bits / F.log2("k")).otherwise(0.0), 6).alias("entropy"))
+
+
+#: Logarithms of the factorials of 0 to 50.
+_LOG_FACTORIALS = [math.lgamma(n + 1) for n in range(51)]
+
+
+def fisher_p(n: Column, na: Column, nb: Column, nab: Column) -> Column:
+    """Two-sided p of Fisher's exact test for at most 50 rows: all tables with these margins that are no likelier."""
+    table = F.array(*map(F.lit, _LOG_FACTORIALS))
+    lf = lambda c: F.get(table, c.cast("int"))
+    fixed = lf(na) + lf(n - na) + lf(nb) + lf(n - nb) - lf(n)
+    chance = lambda k: F.exp(fixed - lf(k) - lf(na - k) - lf(nb - k) - lf(n - na - nb + k))
+    every = F.transform(F.sequence(F.greatest(F.lit(0).cast("long"), na + nb - n), F.least(na, nb)), chance)
+    return F.least(F.lit(1.0), F.aggregate(F.filter(every, lambda p: p <= chance(nab) * (1 + 1e-7)), F.lit(0.0), lambda a, p: a + p))
+
+
+def exclusion_within(rows: DataFrame, group: str, found: str, least: int = 5, critical: float = 3.84, significance: float = 0.05, keep: float = 0.1) -> DataFrame:
+    """(group, a, b, observed, expected, chi_square, p, exclusion): pairs of concepts that keep apart within a group.
+
+    ``found`` holds the concepts of a row. Groups of fewer than 50 rows are tested exactly, others by chi-square with
+    correction (``p`` is null there); a pair must occur in ``least`` rows, and its exclusion reach beyond ``keep``.
+    """
+    own = rows.select(group, F.array_sort(F.array_distinct(found)).alias("f"))
+    total = own.groupBy(group).agg(F.count("*").alias("n"))
+    ones = own.select(group, F.explode("f").alias("c")).groupBy(group, "c").agg(F.count("*").alias("k"))
+    pairs = F.flatten(F.transform("f", lambda x: F.transform(F.filter("f", lambda y: x < y), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    both = own.select(group, F.inline(pairs)).groupBy(group, "a", "b").agg(F.count("*").alias("nab"))
+    left, right = ones.select(group, F.col("c").alias("a"), F.col("k").alias("na")), ones.select(group, F.col("c").alias("b"), F.col("k").alias("nb"))
+    t = left.join(right, group).filter("a < b").join(both, [group, "a", "b"], "left").join(total, group).fillna(0, ["nab"])
+    t = t.filter((F.col("na") + F.col("nb") - F.col("nab") >= least) & (F.col("na") < F.col("n")) & (F.col("nb") < F.col("n")))
+    n, na, nb, nab = (F.col(c).cast("double") for c in ("n", "na", "nb", "nab"))
+    expected = na * nb / n
+    chi = n * F.pow(F.greatest(F.lit(0.0), F.abs(nab * (n - na - nb + nab) - (na - nab) * (nb - nab)) - n / 2), F.lit(2)) / (na * nb * (n - na) * (n - nb))
+    small = F.col("n") < 50
+    p = F.when(small, fisher_p(F.col("n"), F.col("na"), F.col("nb"), F.col("nab")))
+    t = t.withColumns({"expected": expected, "chi_square": F.when(small, 0.0).otherwise(chi), "p": p})
+    sure = F.when(small, F.col("p") < significance).otherwise(F.col("chi_square") >= critical)
+    ratio = F.greatest(F.lit(0.0), F.col("expected") - F.col("nab")) / F.greatest(F.lit(1.0), F.col("expected"))
+    out = t.withColumn("exclusion", F.least(F.lit(1.0), F.when(sure, ratio).otherwise(ratio * 0.5))).filter(F.col("exclusion") > keep)
+    return out.select(group, "a", "b", F.col("nab").alias("observed"), F.round("expected", 4).alias("expected"), F.round("chi_square", 4).alias("chi_square"), F.round("p", 6).alias("p"), F.round("exclusion", 4).alias("exclusion"))

@@ -32,6 +32,7 @@ def top_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _IN = ", ".join(f"'{c}'" for c in CONCEPTS)
+APART = ("and", "the", "that", "der", "und", "die", "les", "une", "pour", "que", "los", "para")
 _FLAGS = f"f AS (SELECT doc_id, list_distinct([x FOR x IN regexp_extract_all(lower(text), '[a-z0-9]+') IF x IN ({_IN})]) AS found FROM documents)"
 
 
@@ -54,6 +55,26 @@ def mutual_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.exclusion(phrases.concept_flags(load(spark, sf_dir, "documents"), CONCEPTS), CONCEPTS)
 
 
+_LF = lambda x: f"lgamma(({x}) + 1)"
+_CHANCE = lambda k: f"exp({_LF('na')} + {_LF('n - na')} + {_LF('nb')} + {_LF('n - nb')} - {_LF('n')} - {_LF(k)} - {_LF(f'na - {k}')} - {_LF(f'nb - {k}')} - {_LF(f'n - na - nb + {k}')})"
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, source, list_distinct([x FOR x IN regexp_extract_all(lower(text), '[a-z]{{3,}}') IF x IN ({', '.join(f"'{c}'" for c in APART)})]) AS f FROM documents WHERE source IS NOT NULL),
+    t AS (SELECT source, count(*) AS n FROM w GROUP BY source), e AS (SELECT source, doc_id, unnest(f) AS c FROM w), o AS (SELECT source, c, count(*) AS k FROM e GROUP BY ALL),
+    h AS (SELECT x.source, x.c AS a, y.c AS b, count(*) AS nab FROM e x JOIN e y ON x.source = y.source AND x.doc_id = y.doc_id AND x.c < y.c GROUP BY ALL),
+    p AS (SELECT source, x.c AS a, y.c AS b, n, x.k AS na, y.k AS nb, coalesce(nab, 0) AS nab FROM o x JOIN o y USING (source) JOIN t USING (source) LEFT JOIN h ON h.source = t.source AND h.a = x.c AND h.b = y.c WHERE x.c < y.c),
+    s AS (SELECT *, na * nb / n::DOUBLE AS expected, CASE WHEN n < 50 THEN 0 ELSE n::DOUBLE * pow(greatest(0, abs(nab * (n - na - nb + nab) - (na - nab) * (nb - nab))::DOUBLE - n / 2), 2) / (na::DOUBLE * nb * (n - na) * (n - nb)) END AS chi,
+            CASE WHEN n < 50 THEN least(1, list_sum([{_CHANCE('k')} FOR k IN range(greatest(0, na + nb - n), least(na, nb) + 1) IF {_CHANCE('k')} <= {_CHANCE('nab')} * (1 + 1e-7)])) END AS p FROM p WHERE na + nb - nab >= 5 AND na < n AND nb < n),
+    x AS (SELECT *, least(1, greatest(0, expected - nab) / greatest(1, expected) * CASE WHEN CASE WHEN n < 50 THEN p < 0.05 ELSE chi >= 3.84 END THEN 1 ELSE 0.5::DOUBLE END) AS exclusion FROM s)
+    SELECT source, a, b, nab AS observed, round(expected, 4) AS expected, round(chi::DOUBLE, 4) AS chi_square, round(p::DOUBLE, 6) AS p, round(exclusion::DOUBLE, 4) AS exclusion FROM x WHERE exclusion > 0.1""")
+def exclusion_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of four languages that keep apart within a source: Fisher's exact test below 50 documents, else chi-square."""
+    d = load(spark, sf_dir, "documents").filter("source is not null")
+    held = F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), F.array(*map(F.lit, APART)))
+    return phrases.exclusion_within(d.select("source", held.alias("f")), "source", "f")
+
+
 @query("""
     WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total FROM n)
     SELECT source, count(*) AS n_values, round(CASE WHEN count(*) > 1 THEN -sum(n / total * log2(n / total)) / log2(count(*)) ELSE 0 END, 6) AS entropy FROM t GROUP BY source""")

@@ -82,3 +82,12 @@ def stream_breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     own = streams.breaker_states(streams.read_events(spark, sf_dir, "events.parquet"), ["error", "click"], 3, "1 day")
     return streams.finished(own, shared_folder(spark))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, max(CAST(ts AS DATE)) + 1 > (SELECT max(ts) - INTERVAL 1 DAY FROM events) AS open FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days written once the watermark has passed them, to files by day, beside the days that are still open."""
+    own = streams.daily_counts(streams.read_events(spark, sf_dir, "events.parquet")).withColumn("day", F.to_date("start"))
+    closed, state = streams.closed_and_open(own, shared_folder(spark), "day")
+    left = state.select(F.to_date("key.window.start").alias("day"), F.col("key.event_type").alias("event_type"), F.col("value.count").alias("n"), F.lit(True).alias("open"))
+    return closed.select("day", "event_type", "n", F.lit(False).alias("open")).unionByName(left)

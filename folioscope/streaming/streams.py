@@ -67,6 +67,19 @@ def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
+def closed_and_open(stream: DataFrame, folder: str, part: str) -> tuple[DataFrame, DataFrame]:
+    """Run a windowed count in append mode into files parted by ``part``; (rows of closed windows, state of open ones).
+
+    A window is written once, when the watermark has passed it, and then leaves the state; files of a day are never
+    written again. What is still open when the input ends is read from the state's own files: columns ``key`` and ``value``.
+    """
+    spark, at = stream.sparkSession, f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    writer.outputMode("append").partitionBy(part).format("parquet").option("path", f"{at}/rows").start().awaitTermination()
+    closed = spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    return closed, spark.read.format("statestore").load(f"{at}/checkpoint").select("key", "value")
+
+
 def trailing_counts(events: DataFrame, width: str = "24 hours", slide: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events by type in windows of ``width`` that begin every ``slide``."""
     own = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"))
