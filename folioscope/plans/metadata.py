@@ -128,6 +128,12 @@ PEOPLE = [
     (-1, "Scope", "General Counsel", "Legal", None, 0.4),
 ]
 _PEOPLE = values(PEOPLE, "doc_id, name, title, department, authority, confidence")
+_PERSON = "doc_id long, name string, title string, department string, authority string, confidence double"
+#: The same from the documents themselves.
+_BARE = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_BY_FORM = " UNION ALL ".join(f"SELECT doc_id, {_BARE('n')} AS name, {_BARE('t')} AS title, 0.6::DOUBLE AS confidence FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}', 1)) AS n, unnest(regexp_extract_all(text, '{p}', 2)) AS t FROM {_PAPERS})" for p in meta.NAME_AND_TITLE)
+_BY_TITLE = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p.format(title=t)}', 1)) AS name, '{t}' AS title, 0.7::DOUBLE AS confidence FROM {_PAPERS}" for t in meta.FINANCE for p in meta.BESIDE)
+_FOUND = f"""(SELECT doc_id, name, title, NULL::VARCHAR AS department, NULL::VARCHAR AS authority, confidence FROM (SELECT * FROM ({_BY_FORM}) WHERE regexp_matches(name, '\\S\\s+\\S') AND length(title) > 2 UNION ALL {_BY_TITLE})) AS t"""
 _CHECKED = f"""
     e AS (SELECT doc_id, trim(name, ' ') AS name, CASE WHEN lower(trim(title, ' ')) NOT IN ('not specified', 'none', 'n/a', '') THEN trim(title, ' ') END AS title, department, authority,
         least(1.0::DOUBLE, greatest(0.0::DOUBLE, confidence)) AS confidence FROM {_PEOPLE} WHERE trim(name, ' ') <> ''),
@@ -138,9 +144,21 @@ _CHECKED = f"""
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People whose name and title occur in their document, with tidy titles and confidences from 0 to 1."""
-    own = literal(spark, PEOPLE, "doc_id long, name string, title string, department string, authority string, confidence double").filter(F.trim("name") != "")
+    own = F.broadcast(literal(spark, PEOPLE, _PERSON))  # a short literal table
+    return _tidy(papers(spark, sf_dir), own)
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``_checked`` for the people that the forms of names and titles find in the documents themselves."""
+    d = papers(spark, sf_dir)
+    each = d.select("doc_id", F.explode(meta.people(F.col("text"))).alias("p"))
+    return _tidy(d, each.select("doc_id", "p.name", "p.title", F.lit(None).cast("string").alias("department"), F.lit(None).cast("string").alias("authority"), "p.confidence"))
+
+
+def _tidy(docs: DataFrame, people: DataFrame) -> DataFrame:
+    own = people.filter(F.trim("name") != "")
     own = own.select("doc_id", F.trim("name").alias("name"), meta.clean_title(F.col("title")).alias("title"), "department", "authority", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")).alias("confidence"))
-    both = papers(spark, sf_dir).select("doc_id", "text").join(F.broadcast(own), "doc_id")  # a short literal table
+    both = docs.select("doc_id", "text").join(own, "doc_id")
     return both.filter(meta.in_content(F.col("name"), F.col("title"), F.col("text"))).drop("text")
 
 
@@ -153,7 +171,11 @@ def entity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {_CHECKED} SELECT doc_id, count(*) AS n_entities, count(title) AS n_titles, count(department) AS n_departments, count(DISTINCT department) AS n_distinct, count(authority) AS n_authority,
         round(avg(confidence), 4) AS confidence FROM v GROUP BY doc_id""")
 def entity_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _checked(spark, sf_dir).groupBy("doc_id")
+    return _statistics(_checked(spark, sf_dir))
+
+
+def _statistics(checked: DataFrame) -> DataFrame:
+    own = checked.groupBy("doc_id")
     return own.agg(F.count("*").alias("n_entities"), F.count("title").alias("n_titles"), F.count("department").alias("n_departments"), F.countDistinct("department").alias("n_distinct"), F.count("authority").alias("n_authority"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
@@ -166,7 +188,11 @@ _FIELDS = sql.labels_where({n: sql.any_of("lower(title)", p) for n, p in meta.TI
     SELECT DISTINCT v.doc_id, coalesce(fields, 'general') AS fields FROM v LEFT JOIN g USING (doc_id)""")
 def entity_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields of work that the titles in a document speak of."""
-    own = _checked(spark, sf_dir).select("doc_id", F.explode_outer(meta.work_fields(F.col("title"))).alias("field"))
+    return _fields_of_work(_checked(spark, sf_dir))
+
+
+def _fields_of_work(checked: DataFrame) -> DataFrame:
+    own = checked.select("doc_id", F.explode_outer(meta.work_fields(F.col("title"))).alias("field"))
     fields = F.array_join(F.array_sort(F.collect_set("field")), ",")  # five names at most
     return own.groupBy("doc_id").agg(F.when(fields == "", "general").otherwise(fields).alias("fields"))
 
@@ -177,10 +203,14 @@ def entity_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM c JOIN {_PAPERS} USING (doc_id)""")
 def extraction_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of confidences above 0, more for many people and for patterns that occur."""
-    own = _checked(spark, sf_dir).groupBy("doc_id").agg(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))).alias("a"), F.count("*").alias("n"))
+    return _confidence(papers(spark, sf_dir), _checked(spark, sf_dir))
+
+
+def _confidence(docs: DataFrame, checked: DataFrame) -> DataFrame:
+    own = checked.groupBy("doc_id").agg(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))).alias("a"), F.count("*").alias("n"))
     low = F.lower("text")
     hits = sum((F.contains(low, F.lit(p)).cast("int") for p in ("officer", "controller", "approve")), F.lit(0))
-    both = papers(spark, sf_dir).select("doc_id", "text").join(own, "doc_id")
+    both = docs.select("doc_id", "text").join(own, "doc_id")
     value = F.least(F.lit(1.0), F.col("a") + F.least(F.col("n") * 0.1, F.lit(0.3)) + F.least(hits * 0.1, F.lit(0.2)))
     return both.select("doc_id", F.round(F.when(F.col("a").isNull(), 0.3).otherwise(value), 3).alias("confidence"))
 
@@ -194,3 +224,33 @@ def metadata_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = load(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars").unionByName(literal(spark, [(None, "", None, -1), (-9, "s", "x", 1)], "doc_id long, source string, text string, n_chars long"))
     issues = F.array_compact(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in _BAD.items()]))
     return own.select("doc_id", F.array_join(issues, "; ").alias("issues"))
+
+
+def _of_documents(name: str) -> str:
+    """The SQL of a query about people, with those found in the documents in place of the literal ones."""
+    from . import registry
+
+    out = registry.ORACLE[name].replace(_PEOPLE, _FOUND)
+    assert out != registry.ORACLE[name]
+    return out
+
+
+@query(_of_documents("entity_checks"))
+def entity_checks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People that documents name with a title, checked."""
+    return _found(spark, sf_dir)
+
+
+@query(_of_documents("entity_statistics"))
+def entity_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statistics(_found(spark, sf_dir))
+
+
+@query(_of_documents("entity_domains"))
+def entity_domains_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields_of_work(_found(spark, sf_dir))
+
+
+@query(_of_documents("extraction_confidence"))
+def extraction_confidence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _confidence(papers(spark, sf_dir), _found(spark, sf_dir))

@@ -12,7 +12,7 @@ from ..sources.tables import load
 from . import registry
 from .analytics import NOW
 from .corpus import _PRINTS, _prints
-from .metadata import _CHECKED, _checked
+from .metadata import _CHECKED, _checked, _found, _of_documents
 from .registry import query
 from .retrieval import _BM25, _LISTS_ALL, TERMS, _lists_all
 
@@ -54,10 +54,20 @@ def chunk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(*) AS n_entities, bool_or(authority IS NOT NULL) AS has_authority FROM v GROUP BY doc_id""")
 def payload_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payload that is stored with a document: arrays over the people found in it, and their number."""
+    return _payload(_checked(spark, sf_dir))
+
+
+@query(_of_documents("payload_assembly"))
+def payload_assembly_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``payload_assembly`` of the people that the documents themselves name."""
+    return _payload(_found(spark, sf_dir))
+
+
+def _payload(checked: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("name", F.coalesce("title", F.lit("~")).alias("o"), "title")))  # people of one document
     part = lambda f: F.array_join(F.transform(rows, lambda x: x[f]), "|")
-    own = _checked(spark, sf_dir).groupBy("doc_id")
-    return own.agg(part("name").alias("names"), part("title").alias("titles"), F.array_join(F.array_sort(F.collect_set("department")), "|").alias("departments"), F.count("*").alias("n_entities"), F.bool_or(F.col("authority").isNotNull()).alias("has_authority"))
+    own = checked.groupBy("doc_id")
+    return own.agg(part("name").alias("names"), part("title").alias("titles"), F.nullif(F.array_join(F.array_sort(F.collect_set("department")), "|"), F.lit("")).alias("departments"), F.count("*").alias("n_entities"), F.bool_or(F.col("authority").isNotNull()).alias("has_authority"))
 
 
 @query("""

@@ -149,3 +149,19 @@ def test_the_breaker_over_many_batches_and_late_calls(spark, tmp_path):
     for u in range(4):
         assert got[u] == set(plain_breaker([(s * 1_000_000, e, kind != "error") for s, e, kind, who in calls if who == u], 3, 6 * 3_600_000_000))
     assert any(b for rows in got.values() for _, _, b in rows) and not any(e == 9999 for rows in got.values() for e, _, _ in rows)
+
+
+def test_days_close_by_watermark_and_leave_the_state(spark, tmp_path):
+    rows = [(day * 86_400 + k * 60, day * 10 + k, "view", 1) for day in range(8) for k in range(5)]
+    for part in range(8):
+        one = spark.createDataFrame(rows[part * 5 : part * 5 + 5], "s long, event_id long, event_type string, user_id long")
+        one.select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", "user_id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    late = spark.createDataFrame([(30, 999, "view", 1)], "s long, event_id long, event_type string, user_id long")
+    late.select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", "user_id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    own = streams.daily_counts(streams.read_events(spark, f"{tmp_path}/events", "*.parquet"), "1 day").withColumn("day", F.to_date("start"))
+    closed, state = streams.closed_and_open(own, f"file://{tmp_path}", "day")
+    done = {(str(r.day), r.n) for r in closed.collect()}
+    left = {(str(r.day), r.n) for r in state.select(F.to_date("key.window.start").alias("day"), F.col("value.count").alias("n")).collect()}
+    days = [f"1970-01-0{d + 1}" for d in range(8)]
+    assert done == {(d, 5) for d in days[:6]} and left == {(d, 5) for d in days[6:]}  # the late row counts nowhere
+    assert "day=1970-01-01" in " ".join(r.path for r in closed.select(F.input_file_name().alias("path")).distinct().collect())
