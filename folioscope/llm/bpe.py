@@ -6,8 +6,9 @@ and looks up only the pairs that changed. Words leave once no pair of theirs is
 the tokenizer file says; each distinct word is encoded once per worker.
 
 Defined results: null and empty texts have no ids, the hash of the empty string and an empty decoded text; special
-tokens written in a text are encoded as such; repeated rows each give a row; other columns pass through unless their
-name is one of the four results.
+tokens written in a text are encoded as such; repeated rows each give a row; an empty table gives no rows; a very long text is
+a block of its own, whose words and ids one task holds; other columns pass through unless their name is one of the four
+results.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ proportion times the posterior of the language against each other one alone.
 The trigram counts come from a sample of labelled rows, bounded at about ``fit_rows`` rows a language.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything where no labelled
-row could be learned from; null or empty labels are not learned from; repeated rows each give a row.
+row could be learned from; null or empty labels are not learned from; repeated rows each give a row; an empty table gives no
+rows; columns named as the results are replaced, others pass through. A very long text is read whole by one task, which holds
+its trigrams as numbers, some twenty times its size for a while.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ the plan is made once from a histogram that does not grow with the data. First e
 Then pieces are placed from the longest down: the complement that a piece would leave in each open gap is looked up
 among single lengths, then (for triple sums: the piece and a pair) among the sums of pairs, and a combination that
 fills a gap exactly is consumed as often as its availability counts allow. A piece without one goes by best fit. Short
-pieces are what later gaps need, so a piece takes only companions of at least ``SHARE`` of its own length.
+pieces are what later gaps need, so it can pay to leave them: plans are made for each of ``SHARES``, the least share of its own
+length that a piece's companions have (0: any, 2: none, which is best fit), and the one with the fewest bins is taken.
 A plan is a list of patterns (lengths in one bin, how many such bins): each step uses up a length, a combination or a
 kind of gap, so their number depends on the capacity alone.
 
@@ -30,8 +31,8 @@ from .common import absent, map_batches, plain, written
 from .tokens import IdEncoder, held, text_blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: A combination uses companions of at least this share of the piece's length.
-SHARE = 0.6
+#: Least shares of a piece's length that its companions have, a plan each.
+SHARES = (0.6, 0.0, 2.0)
 
 
 class _Numbers:
@@ -130,7 +131,12 @@ class _PairSums:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, how many bins) that use every piece once; exact fills go before best fit."""
+    """Patterns (lengths, how many bins) that use every piece once: of the plans for ``SHARES`` one with the fewest bins."""
+    return min((_plan(counts, capacity, share) for share in SHARES), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, share: float) -> list[tuple[tuple[int, ...], int]]:
+    """Exact fills go before best fit; companions have at least ``share`` of a piece's length."""
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -166,7 +172,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         """(gap, lengths) of a combination with ``length`` that fills an open gap: alone, with one, or with a pair."""
         if length in bins:
             return length, (length,)
-        least, gaps = max(1, int(SHARE * length) + 1), sorted((g for g in bins if g > length), reverse=True)
+        least, gaps = max(1, int(share * length) + 1), sorted((g for g in bins if g > length), reverse=True)
         for gap in gaps:
             other = gap - length
             if least <= other <= length and have[other] > (other == length):

@@ -7,7 +7,9 @@ use, for each fold, lexicons learned from the other folds, and the calibration s
 without the row's fold, so that no row judges what it has itself taught.
 
 Defined results: a null text is empty; an empty text gets the score its features give; without labels of both classes
-the score is the share of toxic labels (0 without any); repeated rows each give a row.
+the score is the share of toxic labels (0 without any); repeated rows each give a row; an empty table gives no rows; a column
+named ``score`` is replaced by ``score`` and kept where rows are only dropped, others pass through. A very long text is scored
+whole by one task, which holds its words and a few numbers for each.
 """
 
 from __future__ import annotations

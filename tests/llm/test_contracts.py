@@ -166,6 +166,20 @@ def test_the_plan_fills_by_pairs_and_triples_and_is_no_worse_than_best_fit():
     assert sums.first(4, 1) == (3, 1) and sums.first(2, 1) == (1, 1) and sums.first(4, 2) is None and sums.first(6 - 1, 1) == (3, 2)
 
 
+def test_no_plan_is_worse_than_best_fit():
+    rng = np.random.default_rng(12)
+    for k in range(25):
+        sizes = rng.integers(1 if k % 2 else 150, 1025, 3000) if k % 3 else np.clip(rng.exponential(300, 3000).astype(int) + 1, 1, 1024)
+        counts = Counter(sizes.tolist())
+        plan = packing.plan(counts, 1024)
+        used = Counter()
+        for lengths, n in plan:
+            assert sum(lengths) <= 1024
+            for x in lengths:
+                used[x] += n
+        assert used == counts and sum(n for _, n in plan) <= plain_best_fit(counts, 1024)
+
+
 # --- 4, 6: large batches and runs ------------------------------------------------------------------------------------
 
 
