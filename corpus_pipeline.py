@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
 of ``documents``; the last returns a row for each packed piece. Between stages the rows are written as Parquet in the
 shared folder and read again.
+
+Null texts count as empty: of all empty texts exact dedup leaves the largest doc_id, and packing gives it a piece of the end
+id alone. Rows that share doc_id and text share their fate. Of ties the stages keep what their operators say (the largest
+doc_id of equal texts, the smallest of near copies). Empty tables go through all stages and give no rows. Extra columns,
+whatever their names, stay until packing.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions import text as tx
-from ..operators import ingest, sampling, search
+from ..operators import ingest, profile, sampling, search
 from ..sources.tables import literal, load, values
 from . import registry
 from .registry import query
@@ -254,6 +254,19 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").agg(F.lit("value").alias("name"), F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.countDistinct("event_type").alias("kinds")).select("name", "n", "mean", "least", "most", "kinds")
 
 
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_WORDS = ("l_returnflag", "l_linestatus")
+
+
+@query(" UNION ALL ".join(
+    [f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}::DOUBLE), 4) AS mean, round(stddev_samp({c}::DOUBLE), 4) AS deviation, min({c}::DOUBLE) AS least, max({c}::DOUBLE) AS most, NULL::BIGINT AS n_unique, NULL::VARCHAR AS top, NULL::BIGINT AS freq FROM lineitem" for c in _NUMBERS]
+    + [f"SELECT '{c}', sum(k)::BIGINT, NULL, NULL, NULL, NULL, count(*), arg_min({c}, (-k, {c})), max(k) FROM (SELECT {c}, count(*) AS k FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c})" for c in _WORDS]))
+def table_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of a table described at once; quartiles come from sketches and are tested, not compared."""
+    p = profile.profile(load(spark, sf_dir, "lineitem"))
+    return p.select("name", "n", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "least", "most", "n_unique", "top", "freq")
+
+
 _BOXES = [(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 4.0, 0.0, 12.0, 9.0), (1, 3, 30.0, 30.0, 40.0, 40.0), (2, 4, 0.0, 0.0, 5.0, 5.0), (2, 5, 1.0, 1.0, 4.0, 4.0)]
 _POINTS = [(1, 1, 2.0, 2.0), (1, 2, 14.0, 5.0), (1, 3, 36.0, 44.0), (2, 4, 3.0, 3.0), (2, 5, 90.0, 90.0)]
 

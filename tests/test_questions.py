@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions.stem import stem
-from folioscope.operators import lexicon, postings, sampling, similar
+from folioscope.operators import lexicon, postings, profile, sampling, similar
 from folioscope.operators.questions import STOP
 from folioscope.streaming import streams
 
@@ -165,3 +165,10 @@ def test_days_close_by_watermark_and_leave_the_state(spark, tmp_path):
     days = [f"1970-01-0{d + 1}" for d in range(8)]
     assert done == {(d, 5) for d in days[:6]} and left == {(d, 5) for d in days[6:]}  # the late row counts nowhere
     assert "day=1970-01-01" in " ".join(r.path for r in closed.select(F.input_file_name().alias("path")).distinct().collect())
+
+
+def test_quartiles_of_sketches(spark):
+    df = spark.range(100_000).select((F.pmod(F.xxhash64("id"), F.lit(10_000)) / 100).alias("v"), F.when(F.col("id") < 0, 1).alias("none"), F.lit("x").alias("w"))
+    got = {r.name: r for r in profile.profile(df).collect()}
+    assert abs(got["v"].quarter - 25) < 1.5 and abs(got["v"].half - 50) < 1.5 and abs(got["v"].three_quarters - 75) < 1.5
+    assert got["none"].n == 0 and got["none"].half is None and (got["w"].n_unique, got["w"].top, got["w"].freq) == (1, "x", 100_000)
