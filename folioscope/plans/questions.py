@@ -9,8 +9,9 @@ from ..functions.stem import stem, stem_sql
 from ..operators import lexicon, postings, vectors
 from ..operators import questions as ask
 from ..sources.tables import load
-from . import registry
+from . import concepts, registry  # noqa: F401
 from .registry import query
+from .tagging import _ALL, _all_questions
 from .understanding import asked
 
 _STOP = ", ".join(f"'{w}'" for w in ask.STOP)
@@ -155,3 +156,36 @@ def upload_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = own.select("item_id", "doc_id", "place", F.explode(F.filter("xs", lambda x: F.contains(F.lower(x["s"]), F.col("term")))).alias("x"))
     nth = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy("place", "x.pos"))
     return held.withColumn("rn", nth.cast("long")).filter("rn <= 3").select("item_id", "doc_id", "rn", F.concat(F.substring("x.s", 1, 200), F.lit("...")).alias("sentence"))
+
+
+_PAIRS = registry.ORACLE["mutual_exclusion"]
+
+
+@query(f"""
+    WITH s AS ({registry.ORACLE['question_search']}), t AS ({registry.ORACLE['processing_tier_similar']}), z AS (SELECT a, b FROM ({_PAIRS}) WHERE exclusion > 0.1),
+    q AS (SELECT qid, lower(query) AS low FROM {_ALL}),
+    c AS (SELECT DISTINCT qid, unnest([a, b]) AS concept FROM q, z WHERE contains(low, a) OR contains(low, b)),
+    h AS (SELECT s.qid, tier, s.doc_id, s.score, lower(text) AS body FROM s JOIN t USING (qid) JOIN documents USING (doc_id)),
+    n AS (SELECT h.qid, h.tier, h.doc_id, h.score, count(c.concept) AS n FROM h LEFT JOIN c ON c.qid = h.qid AND h.tier <> 'fast' AND contains(h.body, c.concept) GROUP BY ALL),
+    k AS (SELECT *, count_if(n <= 1) OVER (PARTITION BY qid) < 0.3 * count(*) OVER (PARTITION BY qid) AS all_stay FROM n)
+    SELECT qid, tier, doc_id, round(score - 0.1::DOUBLE * n, 4) AS score, n AS n_conflicts FROM k WHERE n <= 1 OR all_stay""")
+def tiered_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of each question by its tier: as they are on the fast one; on the others a tenth less for each concept in the
+    document that conflicts with the question, and without documents that hold more than one, unless too few would stay.
+
+    Concepts conflict that keep apart over the corpus, where the question speaks of one of the two.
+    """
+    tiers = registry.QUERIES["processing_tier_similar"](spark, sf_dir)
+    pairs = registry.QUERIES["mutual_exclusion"](spark, sf_dir).filter("exclusion > 0.1").select("a", "b")
+    q = _all_questions(spark, sf_dir).select("qid", F.lower("query").alias("low"))
+    words = pairs.select(F.array("a", "b").alias("p"), F.explode(F.array("a", "b")).alias("term"))
+    spoken = lexicon.hits(q, words.select("term"), "qid", "low").join(words, "term")
+    conflicts = spoken.select("qid", F.explode("p").alias("concept")).distinct().groupBy("qid").agg(F.collect_set("concept").alias("concepts"))
+    hits = question_search(spark, sf_dir).join(tiers, "qid")
+    texts = load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
+    own = hits.join(texts, "doc_id").join(conflicts, "qid", "left")
+    n = F.when(F.col("tier") == "fast", 0).otherwise(F.size(F.filter(F.coalesce("concepts", F.array().cast("array<string>")), lambda c: F.contains("body", c))))
+    w = Window.partitionBy("qid")  # ten rows at most
+    own = own.withColumn("n", n.cast("long"))
+    own = own.withColumn("all_stay", F.sum((F.col("n") <= 1).cast("int")).over(w) < 0.3 * F.count("*").over(w))
+    return own.filter("n <= 1 or all_stay").select("qid", "tier", "doc_id", F.round(F.col("score") - 0.1 * F.col("n"), 4).alias("score"), F.col("n").alias("n_conflicts"))
