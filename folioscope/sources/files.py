@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Largest size in bytes by extension.
-LIMITS = {"pdf": 100 << 20, "docx": 50 << 20, "pptx": 50 << 20, "xlsx": 50 << 20, "csv": 50 << 20, "txt": 10 << 20}
+LIMITS = {"pdf": 100 << 20, "docx": 50 << 20, "pptx": 50 << 20, "ppt": 50 << 20, "txt": 10 << 20, "csv": 25 << 20, "xlsx": 25 << 20, "png": 10 << 20, "jpg": 10 << 20, "gif": 10 << 20, "webp": 10 << 20}
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
