@@ -131,3 +131,48 @@ def grounding_score(parts: dict[str, Column], by: dict[str, float], risk: Column
     total = sum((F.coalesce(c * by[k], F.lit(0.0)) for k, c in parts.items()), F.lit(0.0))
     weight = sum((F.when(c.isNotNull(), by[k]).otherwise(0.0) for k, c in parts.items()), F.lit(0.0))
     return F.when(weight == 0, 0.0).otherwise(total / weight * (1 - 0.5 * risk))
+
+
+#: Concepts of the field, words that are no concept, and what makes three words a technical term.
+FIELD_CONCEPTS = (
+    "ratio", "ratios", "capital", "equity", "asset", "liability", "reserve", "reserves", "requirement", "regulation", "regulatory", "compliance",
+    "ifrs", "gaap", "solvency", "licat", "calculation", "formula", "method", "risk", "coverage", "margin",
+)
+NO_CONCEPTS = (
+    "this", "that", "with", "from", "they", "will", "would", "could", "should", "must", "also", "such", "each", "some", "more", "most",
+    "have", "been", "when", "where", "what", "which", "these", "those",
+)
+TECHNICAL = ("factor", "rate", "test", "reserve", "value", "duration")
+#: A formula, a number, and (in a text where words with other signs than ASCII letters are masked) three words in a row.
+FORMULA = r"[A-Z]\w*\s*=\s*[0-9.+*/()\s\w×-]+"
+NUMBER = r"[0-9]+\.?[0-9]*%?|\$[0-9]+\.?[0-9]*"
+MASKED, THREE = r"[A-Za-z]*[0-9_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*", r"(?i)[a-z]+\s+[a-z]+\s+[a-z]+"
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+
+
+def concepts(text: Column) -> Column:
+    """Concepts of a text: words of the field, and its first ten words of four ASCII letters that mean something."""
+    own = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    terms = F.filter(own, lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(*NO_CONCEPTS))
+    return F.array_distinct(F.concat(F.filter(own, lambda w: w.isin(*FIELD_CONCEPTS)), F.slice(terms, 1, 10)))
+
+
+def ungrounded(response: Column, sources: Column) -> dict[str, Column]:
+    """Formulas, numbers and technical claims of a response that its sources don't hold."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    low = F.lower(sources)
+
+    def no_formula(f: Column) -> Column:
+        part = F.exists(F.split(f, r"[=+*/()-]"), lambda p: (F.length(bare(p)) > 2) & F.contains(sources, bare(p)))
+        return ~(part | F.contains(sources, f) | F.contains(sources, F.replace(F.replace(f, F.lit("×"), F.lit("*")), F.lit(" "), F.lit(""))))
+
+    def no_number(n: Column) -> Column:
+        return ~n.isin("1", "2", "3") & (F.length(n) > 1) & ~F.contains(sources, n) & ~F.contains(sources, F.regexp_replace(n, r"^\$+|%+$", ""))
+
+    def no_claim(c: Column) -> Column:
+        return ~F.contains(low, F.lower(c)) & ~F.exists(F.split(c, r"\s+"), lambda w: (F.length(w) > 3) & F.contains(low, F.lower(w)))
+
+    every = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
+    acronyms = F.filter(every(response, WORD), lambda w: w.rlike("^[A-Z]{2,5}$"))
+    terms = F.filter(every(F.regexp_replace(response, MASKED, "#"), THREE), lambda t: any_of(F.lower(t), list(TECHNICAL)))
+    return {"formulas": F.filter(every(response, FORMULA), no_formula), "numbers": F.filter(every(response, NUMBER), no_number), "claims": F.filter(F.concat(acronyms, terms), no_claim)}

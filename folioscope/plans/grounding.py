@@ -213,3 +213,47 @@ def answer_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = load(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
     cut = F.transform(F.sequence(F.lit(0).cast("long"), (F.ceil(F.size("w") / 5) - 1).cast("long")), lambda k: F.array_join(F.slice("w", (k * 5 + 1).cast("int"), F.lit(5)), " "))
     return own.select("conv_id", "turn", F.posexplode(cut).alias("chunk", "part")).withColumn("chunk", F.col("chunk").cast("long"))
+
+
+_IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
+_SET = lambda c: f"list_distinct([w FOR w IN regexp_extract_all(lower({c}), '{scoring.WORD}') IF w IN ({_IN(scoring.FIELD_CONCEPTS)})] || [w FOR w IN regexp_extract_all(lower({c}), '{scoring.WORD}') IF regexp_matches(w, '^[a-z]{{4,}}$') AND w NOT IN ({_IN(scoring.NO_CONCEPTS)})][1:10])"
+
+
+@query(f"""
+    WITH q AS (SELECT conv_id, {_SET('arg_min(text, turn)')} AS q FROM conversations WHERE role = 'user' GROUP BY conv_id),
+    d AS (SELECT conv_id, list_distinct(flatten(list({_SET('text')}))) AS d FROM conversations WHERE role <> 'assistant' GROUP BY conv_id),
+    a AS (SELECT conv_id, turn, {_SET('text')} AS r FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, turn, round(CASE WHEN len(q) = 0 OR len(r) = 0 THEN 0.5 ELSE (len(list_intersect(q, r)) / len(q) + len(list_intersect(r, d)) / len(r)) / 2 END::DOUBLE, 6) AS alignment
+    FROM a JOIN q USING (conv_id) JOIN d USING (conv_id)""")
+def concept_alignment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the question's concepts in the answer and of the answer's in the sources: words of the field, and the first
+    ten meaning words of the question, the answer and each source.
+    """
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", scoring.concepts(F.col("text")).alias("c"))
+    q = c.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("c", "turn").alias("q"))
+    d = c.filter("role <> 'assistant'").select("conv_id", F.explode("c").alias("w")).groupBy("conv_id").agg(F.collect_set("w").alias("d"))
+    a = c.filter("role = 'assistant'").join(q, "conv_id").join(d, "conv_id", "left")
+    both = (F.size(F.array_intersect("q", "c")) / F.size("q") + F.coalesce(F.size(F.array_intersect("c", "d")), F.lit(0)) / F.size("c")) / 2
+    return a.select("conv_id", "turn", F.round(F.when((F.size("q") == 0) | (F.size("c") == 0), 0.5).otherwise(both), 6).alias("alignment"))
+
+
+_BARE = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(_PAIRS + f"""
+    , x AS (SELECT conv_id, turn, sources, src, regexp_extract_all(response, '{scoring.FORMULA}') AS f, regexp_extract_all(response, '{scoring.NUMBER}') AS n,
+        [w FOR w IN regexp_extract_all(response, '{scoring.WORD}') IF regexp_matches(w, '^[A-Z]{{2,5}}$')]
+        || [t FOR t IN regexp_extract_all(regexp_replace(response, '{scoring.MASKED}', '#', 'g'), '{scoring.THREE}') IF {' OR '.join(f"contains(lower(t), '{w}')" for w in scoring.TECHNICAL)}] AS c FROM p),
+    y AS (SELECT conv_id, turn,
+        len([g FOR g IN f IF NOT (len([h FOR h IN regexp_split_to_array(g, '[=+*/()-]') IF length({_BARE('h')}) > 2 AND contains(sources, {_BARE('h')})]) > 0 OR contains(sources, g) OR contains(sources, replace(replace(g, '×', '*'), ' ', '')))]) AS f,
+        len([m FOR m IN n IF m NOT IN ('1', '2', '3') AND length(m) > 1 AND NOT contains(sources, m) AND NOT contains(sources, regexp_replace(m, '^\\$+|%+$', '', 'g'))]) AS n,
+        len([t FOR t IN c IF NOT contains(src, lower(t)) AND len([w FOR w IN regexp_split_to_array(t, '\\s+') IF length(w) > 3 AND contains(src, lower(w))]) = 0]) AS c FROM x)
+    SELECT conv_id, turn, f::BIGINT AS n_formulas, n::BIGINT AS n_numbers, c::BIGINT AS n_claims, round(((f = 0)::INT + (n = 0)::INT + (c = 0)::INT) / 3, 6) AS score, f = 0 AND n = 0 AND c = 0 AS grounded,
+           round(least(1, ((f = 0)::INT + (n = 0)::INT + (c = 0)::INT) / 3 + 0.3), 6) AS confidence FROM y""")
+def strict_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas, numbers and technical claims of an answer that its sources don't hold; grounded only without any."""
+    p = _pairs(spark, sf_dir)
+    missing = scoring.ungrounded(F.col("response"), F.col("sources"))
+    own = p.select("conv_id", "turn", *[F.size(c).cast("long").alias(f"n_{k}") for k, c in missing.items()])
+    passed = sum(((F.col(f"n_{k}") == 0).cast("int") for k in missing), F.lit(0))
+    return own.withColumns({"score": F.round(passed / 3, 6), "grounded": passed == 3, "confidence": F.round(F.least(F.lit(1.0), passed / 3 + 0.3), 6)})
