@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import tags, usage
+from ..operators import ingest, tags, usage
 from ..sources.tables import QUESTIONS, load, values
 from . import registry
 from .registry import query
@@ -229,3 +229,65 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = load(spark, sf_dir, "lineitem").filter("l_shipdate >= timestamp_ntz'1995-01-01'").select("l_orderkey", "l_extendedprice", "l_discount")
     own = load(spark, sf_dir, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey"))
     return own.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("""
+    WITH e AS (SELECT *, CASE WHEN value < 20 THEN 'fast' WHEN value < 60 THEN 'cached' ELSE 'full' END AS tier, ts > (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS recent FROM events),
+    r AS (SELECT count(*) AS total, avg(value) AS mean, count_if(event_type = 'view') / count(*) AS hits FROM e WHERE recent)
+    SELECT tier, count(*) AS n, count_if(recent) AS n_recent, total AS total_recent, round(mean, 4) AS mean_latency, round(hits::DOUBLE, 4) AS hit_rate FROM e, r GROUP BY tier, total, mean, hits""")
+def tier_stats_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Use of the tiers in all, and of the last hour the requests, their mean latency and the share of hits."""
+    e = _events(spark, sf_dir)
+    last = e.agg(F.max("ts").alias("_last"))  # one row
+    tier = F.when(F.col("value") < 20, "fast").when(F.col("value") < 60, "cached").otherwise("full")
+    own = e.crossJoin(F.broadcast(last)).select(tier.alias("tier"), "value", "event_type", (F.col("ts") > F.col("_last") - F.expr("interval 1 hour")).alias("recent"))
+    r = own.filter("recent").agg(F.count("*").alias("total_recent"), F.round(F.avg("value"), 4).alias("mean_latency"), usage.share(F.count_if(F.col("event_type") == "view"), F.count("*"), 4).alias("hit_rate"))
+    return own.groupBy("tier").agg(F.count("*").alias("n"), F.count_if("recent").alias("n_recent")).crossJoin(F.broadcast(r))
+
+
+@query("SELECT o_orderkey, o_orderstatus, n FROM orders JOIN (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus) USING (o_orderstatus) WHERE o_orderstatus IN ('O', 'P')")
+def active_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that are waiting or at work, each with the number of jobs in its state."""
+    o = load(spark, sf_dir, "orders")
+    return o.filter(F.col("o_orderstatus").isin("O", "P")).select("o_orderkey", "o_orderstatus").join(F.broadcast(o.groupBy("o_orderstatus").agg(F.count("*").alias("n"))), "o_orderstatus")  # a row a state
+
+
+@query("""
+    WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    k AS (SELECT *, CASE WHEN n <= 1000 THEN n ELSE 500 + (n - 1001) % 501 END AS kept FROM o)
+    SELECT event_type, kept, min(i) AS first, round(avg(value), 4) AS mean FROM k WHERE i > n - kept GROUP BY event_type, kept""")
+def trimmed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a history that is cut to its last 500 entries whenever it holds more than 1,000."""
+    e = _events(spark, sf_dir)
+    sizes = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    kept = F.when(F.col("n") <= 1000, F.col("n")).otherwise(500 + (F.col("n") - 1001) % 501)
+    own = ingest.numbered(e.select("event_type", "event_id", "value"), "event_type", "event_id", "i").join(F.broadcast(sizes.withColumn("kept", kept)), "event_type")  # a row a type
+    return own.filter(F.col("i") > F.col("n") - F.col("kept")).groupBy("event_type", "kept").agg(F.min("i").alias("first"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@query("""
+    WITH r AS (SELECT user_id, value >= 50 AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+    s AS (SELECT user_id, count(*) AS n, count_if(good AND rn <= 50) / count_if(rn <= 50) AS rate FROM r GROUP BY user_id)
+    SELECT user_id, round(rate::DOUBLE, 6) AS rate, round(greatest(0.5::DOUBLE, least(0.9::DOUBLE, 0.7::DOUBLE + CASE WHEN n < 50 THEN 0 WHEN rate < 0.6 THEN -0.05 WHEN rate > 0.9 THEN 0.05 ELSE 0 END::DOUBLE)), 4) AS threshold FROM s""")
+def threshold_by_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's similarity threshold: lower after many failures among the last fifty, higher after few, from 0.5 to 0.9."""
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    own = _events(spark, sf_dir).select("user_id", (F.col("value") >= 50).alias("good"), rn.alias("rn")).groupBy("user_id")
+    s = own.agg(F.count("*").alias("n"), (F.count_if(F.col("good") & (F.col("rn") <= 50)) / F.count_if(F.col("rn") <= 50)).alias("r"))
+    move = F.when(F.col("n") < 50, 0.0).when(F.col("r") < 0.6, -0.05).when(F.col("r") > 0.9, 0.05).otherwise(0.0)
+    return s.select("user_id", F.round("r", 6).alias("rate"), F.round(F.greatest(F.lit(0.5), F.least(F.lit(0.9), 0.7 + move)), 4).alias("threshold"))
+
+
+@query("""
+    WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
+    p AS (SELECT conv_id, chr(10) || '## Recent Conversation:' || chr(10) || string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END, chr(10) ORDER BY turn) AS c FROM m WHERE rn <= 10 GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN length(c) > 800 THEN left(c, 700) || chr(10) || '... (context truncated)' ELSE c END AS context FROM p""")
+def budgeted_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ten messages of a conversation, 300 signs of each, within 200 tokens of four signs."""
+    rn = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    m = load(spark, sf_dir, "conversations").withColumn("rn", rn).filter("rn <= 10")
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.when(F.length("text") > 300, F.concat(F.substring("text", 1, 300), F.lit("..."))).otherwise(F.col("text")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])  # ten at most
+    c = m.groupBy("conv_id").agg(F.concat(F.lit("\n## Recent Conversation:\n"), F.array_join(lines, "\n")).alias("c"))
+    cut = F.concat(F.substring("c", 1, 700), F.lit("\n... (context truncated)"))
+    return c.select("conv_id", F.when(F.length("c") > 800, cut).otherwise(F.col("c")).alias("context"))
