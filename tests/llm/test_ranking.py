@@ -190,3 +190,25 @@ def test_gaps_round_trip_and_words():
     known = words.Dictionary()
     assert known("É ÀB ab aB_0 x".encode()).tolist() == [0, 1, 2, 2, 3, 4] and known(None).size == 0
     assert [w.decode() for w in known.words()] == ["É", "Àb", "ab", "0", "x"]
+
+
+# --- 1, 7: bounded samples --------------------------------------------------------------------------------------------
+
+
+def test_languages_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    from folioscope.llm import language_id
+
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(k, "the cat and the dog sat there", "en") for k in range(30)] + [(100 + k, "le chat et le chien sont assis", "fr") for k in range(20)] + [(200 + k, "noise", f"dirt{k}") for k in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.langs == ["en", "fr"] and model.predict("the dog and the cat")[0] == "en" and model.predict("le chien et le chat")[0] == "fr"
+
+
+def test_a_small_share_of_labels_is_still_a_sample(spark):
+    from folioscope.llm import toxicity
+
+    rows = [(k, f"you {'zuppvile' if k % 3 == 0 else 'friendly'} person number {k} of the town", k % 3 == 0) for k in range(3000)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(y)) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, fit_rows=300)
+    assert np.mean([(model.score([t])[0] >= 0.7) == y for _, t, y in rows[:200]]) > 0.95
