@@ -172,3 +172,18 @@ def test_quartiles_of_sketches(spark):
     got = {r.name: r for r in profile.profile(df).collect()}
     assert abs(got["v"].quarter - 25) < 1.5 and abs(got["v"].half - 50) < 1.5 and abs(got["v"].three_quarters - 75) < 1.5
     assert got["none"].n == 0 and got["none"].half is None and (got["w"].n_unique, got["w"].top, got["w"].freq) == (1, "x", 100_000)
+
+
+def test_numbers_and_lags_of_sparse_ids(spark):
+    from folioscope.operators import ingest
+
+    rng = random.Random(9)
+    ids = sorted({rng.randrange(-(2**62), 2**62) for _ in range(400)})
+    rows = [(k, "hot" if n % 3 else "cold", n) for n, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id long, g string, n int").repartition(4)
+    got = {r.id: r.i for r in ingest.numbered(df, "g", "id", "i").collect()}
+    lag = {r.id: r.before for r in ingest.lagged(df, "g", "id", ["n"], "old").select("id", F.col("old.n").alias("before")).collect()}
+    for g in ("hot", "cold"):
+        own = [(k, n) for k, h, n in rows if h == g]
+        assert [got[k] for k, _ in own] == list(range(1, len(own) + 1))
+        assert [lag[k] for k, _ in own] == [None, *(n for _, n in own[:-1])]
