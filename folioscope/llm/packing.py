@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import absent, map_batches, plain, written
+from .common import BROADCAST_ROWS, absent, map_batches, plain, written
 from .tokens import IdEncoder, held, text_blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -213,14 +213,19 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
 def _placed(items: DataFrame, names: list[str], part: str, seq: str, capacity: int) -> DataFrame:
     """The columns ``names`` with ``sequence_id`` and ``offset``, from items numbered by ``part`` and ``seq``.
 
-    They are written to the shared folder first, so that the numbers stay as they are.
+    They are written to the shared folder first, so that the numbers stay as they are. Nothing else is written, and the
+    sums by task and length are sent to the tasks if they are few: each file that a task writes makes Spark start helper
+    processes, and with a shuffle there would be one for every shuffle partition, however small.
     """
     own = written(items, "pieces")
     first, rank = absent(own.columns, "first", "rank")
     sums = own.groupBy(plain(part), "length").agg((F.max(plain(seq)) + 1).alias("n"))
+    totals = sums.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("tasks")).collect()  # at most `capacity` rows
+    counts = {r["length"]: r["n"] for r in totals}
     before = Window.partitionBy("length").orderBy(plain(part)).rowsBetween(Window.unboundedPreceding, -1)
-    sums = written(sums.withColumn(first, F.coalesce(F.sum("n").over(before), F.lit(0))), "sums")
-    counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    sums = sums.select(part, "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    if sum(r["tasks"] for r in totals) <= BROADCAST_ROWS:
+        sums = F.broadcast(sums)
     # For each length: where each run of its pieces begins, in which bin and at which offset.
     runs: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = {}
@@ -251,7 +256,7 @@ def _placed(items: DataFrame, names: list[str], part: str, seq: str, capacity: i
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(bin_), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    ranked = own.join(sums.select(part, "length", first), [part, "length"]).withColumn(rank, plain(first) + plain(seq))
+    ranked = own.join(sums, [part, "length"]).withColumn(rank, plain(first) + plain(seq))
     ranked = ranked.select(*map(plain, names), *([] if "length" in names else ["length"]), plain(rank))
     more = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     return map_batches(ranked, place, T.StructType([*kept, *more]), encoders=True)

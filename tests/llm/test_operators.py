@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, embedding_dedup, exact_dedup, language_id, packing, pii, separator_scan, simhash, token_files, toxicity
+from folioscope.llm import bpe, common, embedding_dedup, exact_dedup, language_id, packing, pii, separator_scan, simhash, token_files, toxicity
 from folioscope.llm.queries import tokenizer_path
 from folioscope.llm.tokens import IdEncoder, load_tokenizer
 
@@ -154,6 +154,36 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, BYTE, 2, 64).count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, -1])
+def test_packing_writes_its_pieces_alone_and_shuffles_only_many_sums(spark, monkeypatch, tmp_path, most):
+    held = {"spark.sql.shuffle.partitions": "29", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in held}
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", most, raising=False)
+    rng = random.Random(5)
+    sizes = [(n, rng.randint(1, 64)) for n in range(3000)]
+    items = spark.createDataFrame(sizes, "item long, length long").repartition(3)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        packed = packing.pack(items, 64)
+        tasks, out = packed.rdd.getNumPartitions(), packed.collect()
+        left = [f.relative_to(tmp_path).parts[0].split("-")[0] for f in tmp_path.rglob("part-*.parquet")]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert left == ["pieces"] * 3
+    assert tasks <= 4 if most > 0 else tasks == 29
+    assert sorted((r["item"], r["length"]) for r in out) == sizes
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in map(sorted, bins.values()):
+        assert [a for a, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()] and sum(own[-1]) <= 64
+    counts = {x: sum(n == x for _, n in sizes) for x in range(1, 65)}
+    assert len(bins) == sum(n for _, n in packing.plan(counts, 64))
+
+
 def least_bins(counts: dict[int, int], capacity: int) -> int:
     """No plan has fewer bins: for each k, pieces over half the capacity, and what of the others their bins can't hold."""
     best = 0
