@@ -1,4 +1,4 @@
-"""Porter's stemming algorithm (1980) as a column expression, and as SQL for the second engine.
+"""Porter's stemming algorithm (1980) as a column expression, as SQL for the second engine, and for single words in tasks.
 
 Each step is a list of rules (ending, what stands for it, what must hold of the stem before it); the first rule whose ending
 fits decides, whether or not its condition holds. Conditions are patterns over letters: with C a consonant and V a vowel
@@ -7,6 +7,9 @@ fits decides, whether or not its condition holds. Conditions are patterns over l
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +64,48 @@ class _Sql:
     cases = staticmethod(lambda pairs, other: "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + f" ELSE {other} END")
 
 
+def _same(w):
+    return w
+
+
+class _Plain:
+    """The same as functions of a word; of cases only the first that holds is worked out, and none if no ending fits."""
+
+    long = staticmethod(lambda x, n: lambda w: len(x(w)) >= n)
+    both = staticmethod(lambda a, b: lambda w: a(w) and b(w))
+    apart = staticmethod(lambda a: lambda w: not a(w))
+
+    @staticmethod
+    def matches(x, p):
+        if p[-1] == "$" and p[:-1].isalpha():
+            def ends(w):
+                return x(w).endswith(p[:-1])
+
+            if x is _same:
+                ends.ending = p[:-1]
+            return ends
+        found = re.compile(p).search
+        return lambda w: found(x(w)) is not None
+
+    @staticmethod
+    def replaced(x, p, to):
+        changed = re.compile(p).sub
+        return lambda w: changed(to, x(w))
+
+    @staticmethod
+    def cases(pairs, other):
+        endings = tuple(getattr(holds, "ending", "") for holds, _ in pairs)
+
+        def first(w):
+            if w.endswith(endings):
+                for holds, then in pairs:
+                    if holds(w):
+                        return then(w)
+            return other(w)
+
+        return first
+
+
 def _step(k, x, rules):
     """The first rule whose ending fits."""
     pairs = []
@@ -120,6 +165,19 @@ def stem(word: Column) -> Column:
     return F.when(own, through(word, _steps(_Spark))).otherwise(word)
 
 
+_PLAIN_STEPS = [s(_same) for s in _steps(_Plain)]
+_OWN = re.compile("[a-z]{3,}").fullmatch
+
+
+@lru_cache(maxsize=200_000)
+def stem_word(word: str) -> str:
+    """What ``stem`` gives for one word."""
+    if _OWN(word):
+        for step in _PLAIN_STEPS:
+            word = step(word)
+    return word
+
+
 def stem_sql(rows: str, column: str, keep: str = "*") -> str:
     """A query over ``rows`` with a further column ``stem`` of ``column``: one nested query a step."""
     out = f"SELECT *, {column} AS stem FROM {rows}"

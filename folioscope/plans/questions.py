@@ -77,8 +77,8 @@ def question_parts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question in parts (rewritten, its names, its first three keywords), each searched; twenty documents in all."""
     texts = F.concat(F.array("focused"), F.col("named"), F.slice("keywords", 1, 3))
     parts = _rewritten(spark, sf_dir).select("qid", F.posexplode(texts).alias("part", "text"))
-    parts = parts.filter(F.col("text") != "").withColumn("ask", F.concat("qid", F.lit("#"), F.col("part").cast("string")))
-    found = postings.search(_index(spark, sf_dir), parts, "ask", "text", 10).join(parts.select("ask", "qid", "part"), "ask")
+    parts = parts.filter(F.col("text") != "").select(F.struct("qid", "part").alias("ask"), "text")
+    found = postings.search(_index(spark, sf_dir), parts, "ask", "text", 10).select("ask.*", "doc_id", "score")
     return postings.first_parts(found, "qid", "part", "doc_id", 20).select("qid", "part", "doc_id", "score")
 
 
