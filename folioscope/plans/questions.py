@@ -9,7 +9,7 @@ from ..functions.stem import stem, stem_sql
 from ..operators import lexicon, postings, vectors
 from ..operators import questions as ask
 from ..sources.tables import load
-from . import concepts, registry  # noqa: F401
+from . import concepts, registry
 from .registry import query
 from .tagging import _ALL, _all_questions
 from .understanding import asked
@@ -161,6 +161,12 @@ def upload_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = registry.ORACLE["mutual_exclusion"]
 
 
+def _concepts_held(docs: DataFrame) -> DataFrame:
+    """(doc_id, held): the concepts that each text holds anywhere, so that a join by document carries no texts."""
+    low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("body"))
+    return low.select("doc_id", F.array_compact(F.array(*[F.when(F.contains("body", F.lit(c)), F.lit(c)) for c in concepts.CONCEPTS])).alias("held"))
+
+
 @query(f"""
     WITH s AS ({registry.ORACLE['question_search']}), t AS ({registry.ORACLE['processing_tier_similar']}), z AS (SELECT a, b FROM ({_PAIRS}) WHERE exclusion > 0.1),
     q AS (SELECT qid, lower(query) AS low FROM {_ALL}),
@@ -182,9 +188,8 @@ def tiered_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = lexicon.hits(q, words.select("term"), "qid", "low").join(words, "term")
     conflicts = spoken.select("qid", F.explode("p").alias("concept")).distinct().groupBy("qid").agg(F.collect_set("concept").alias("concepts"))
     hits = question_search(spark, sf_dir).join(tiers, "qid")
-    texts = load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("body"))
-    own = hits.join(texts, "doc_id").join(conflicts, "qid", "left")
-    n = F.when(F.col("tier") == "fast", 0).otherwise(F.size(F.filter(F.coalesce("concepts", F.array().cast("array<string>")), lambda c: F.contains("body", c))))
+    own = hits.join(_concepts_held(load(spark, sf_dir, "documents")), "doc_id").join(conflicts, "qid", "left")
+    n = F.when(F.col("tier") == "fast", 0).otherwise(F.size(F.array_intersect(F.coalesce("concepts", F.array().cast("array<string>")), "held")))
     w = Window.partitionBy("qid")  # ten rows at most
     own = own.withColumn("n", n.cast("long"))
     own = own.withColumn("all_stay", F.sum((F.col("n") <= 1).cast("int")).over(w) < 0.3 * F.count("*").over(w))

@@ -87,3 +87,14 @@ def test_texts_of_questions_are_worked_out_once(spark):
     rows = p.withColumn("focused", ask.focused(F.col("query"), F.col("phrases"), F.col("keywords"))).select("qid", "focused")
     plan = postings.searches(rows, "qid", "focused")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[\\p{L}\\p{N}_]+") == 1
+
+
+def test_tiered_retrieval_joins_no_texts(spark):
+    from folioscope.plans import concepts, questions
+
+    a, b = concepts.CONCEPTS[:2]
+    docs = spark.createDataFrame([(1, f"x{a.upper()}y {b}"), (2, None), (3, "")], "doc_id long, text string")
+    got = questions._concepts_held(docs)
+    assert got.columns == ["doc_id", "held"]
+    held = {r.doc_id: set(r.held) for r in got.collect()}
+    assert {a, b} <= held[1] and held[2] == held[3] == set()
