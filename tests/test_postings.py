@@ -98,3 +98,10 @@ def test_tiered_retrieval_joins_no_texts(spark):
     assert got.columns == ["doc_id", "held"]
     held = {r.doc_id: set(r.held) for r in got.collect()}
     assert {a, b} <= held[1] and held[2] == held[3] == set()
+
+
+def test_an_index_is_made_without_a_shuffle(spark):
+    """What all searches took longest for: a shuffle of all words, and stems worked out twice by the ranges of a sort."""
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("alpha bravo kilo").alias("text")).coalesce(1)
+    own = postings.index(docs, "doc_id", [F.col("text")])
+    assert own.mean == [3.0] and spark.read.parquet(own.path).rdd.getNumPartitions() == 1 and "bucket" not in own.schema.names
